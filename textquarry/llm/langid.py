@@ -58,7 +58,7 @@ def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         feature = ((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.int32)
         feature[~some | cross] = FEATURES
         out.append(np.concatenate([feature, np.full(n - 1, FEATURES, np.int32)]))
-    return out, at[:-2] if texts else at[:0]
+    return out, at[1:-1] - 1
 
 
 def _spans(begin: np.ndarray, total: int) -> list[tuple[int, int]]:
