@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from textquarry.plans import corpus, graphs, registry, text, vectors  # noqa: F401  (they register their queries)
+from textquarry.plans.registry import Query
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """The five best documents of each benchmark item, by BM25."""
+    return text.bm25_batch_benchmark(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
