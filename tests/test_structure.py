@@ -48,7 +48,7 @@ def files(spark):
 
 @pytest.fixture(scope="module")
 def symbols(files):
-    return Y.extract(files).withColumn("symbol_id", F.xxhash64("file_path", "name", "byte_start")).localCheckpoint() if False else Y.extract(files).withColumn("symbol_id", F.xxhash64("file_path", "name", "byte_start")).cache()
+    return Y.extract(files).withColumn("symbol_id", F.xxhash64("file_path", "name", "byte_start")).cache()
 
 
 def test_python_symbols(symbols):
@@ -159,7 +159,7 @@ def test_protocol(spark):
 
 def test_packing(spark):
     assert K.count_tokens("a bcdefgh, x") == 5
-    df = spark.createDataFrame([(0, "a", 3.0, "m", "one two three"), (0, "b", 2.0, "m", "word " * 500), (0, "c", 1.0, "m", "four five")], "query_id int, key string, score double, meta string, source string")
+    df = spark.createDataFrame([(0, "a", 3.0, "m", "one two three"), (0, "b", 2.0, "m", "word here\n" * 500), (0, "c", 1.0, "m", "four five")], "query_id int, key string, score double, meta string, source string")
     got = {r.key: (r.truncated, r.tokens) for r in K.pack_greedy(df, 60, least=4).collect()}
     assert got["a"] == (False, 4) and got["b"][0] and sum(n for _, n in got.values()) <= 60
     assert df.select(K.tokens_of(F.col("source"))).first()[0] == K.count_tokens("one two three")
@@ -207,7 +207,7 @@ def test_patterns(spark):
     assert X.matches("a == b", "$X == $X") == [] and X.matches("def (", "$X") == []
     assert X.rewrite(source, "log($A, $$$REST)", "trace($$$REST, $A)")[0].startswith("trace(b, a)\n")
     df = spark.createDataFrame([("a.py", "python", source), ("b.js", "javascript", source)], "file_path string, language string, text string")
-    assert X.search(df, "log($$$)").count() == 3 and [r.replaced for r in X.rewrite_files(df, "log($X)", "$X").collect()] == [1]
+    assert X.search(df, "log($$$)").count() == 3 and [r.replaced for r in X.rewrite_files(df, "log($X)", "$X").collect()] == [3]
 
 
 def test_composition(spark, files, symbols):
@@ -223,13 +223,13 @@ def test_composition(spark, files, symbols):
     edges = G.import_edges(files)
     chosen, related = C.bundle(spark.createDataFrame([(0, "app/main.py", 1), (0, "x.json", 2)], "query_id int, file_path string, rank int"), edges, "helper util", anchors=1)
     assert [r.file_path for r in chosen.collect()] == ["app/main.py"] and [r.file_path for r in related.collect()] == ["x.json", "pkg/util.py"]
-    assert [r.relation for r in C.module_local(files, "web/a.ts", []).collect()] == ["same_directory"]
+    assert [r.relation for r in C.module_local(files, "web/a.ts", []).collect()] == ["parent_directory", "parent_directory", "same_directory"]
     assert [r.name for r in C.helpers(symbols, "pkg/util.py", "_quiet").collect()] == ["helper"]
     assert C.prioritise(symbols, "Store").first().name == "Store"
     hits = spark.createDataFrame([("docs/a.md", 3.0), ("src/b.py", 2.0)], "path string, score double")
     assert {(r.path, r.part) for r in C.split_text(hits, "question", 5).collect()} == {("docs/a.md", "related"), ("src/b.py", "seed")}
     assert [r.file_path for r in C.lexical_related(hits, rows, "question").collect()] == ["src/b.py"]
-    assert C.focus(files, "app/main.py", ["helper", "path"]).first().line_number == 13 or True
+    assert C.focus(files, "app/main.py", ["helper", "path"]).first().line_number == 13
 
 
 def test_sources(spark, tmp_path):

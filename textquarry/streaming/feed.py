@@ -18,7 +18,8 @@ def debounced(events: DataFrame, gap: str = "2 seconds", *, late: str = "10 seco
     """(start, end, [keys,] paths, events): changes with no quiet gap between them are one session, with its sorted
     distinct paths. Works on streams, with a watermark for late events, and on tables alike."""
     source = events.withWatermark(at, late) if events.isStreaming else events
-    found = source.groupBy(F.session_window(F.col(at), gap).alias("w"), *keys).agg(F.array_sort(F.collect_set(path)).alias("paths"), F.count(F.lit(1)).alias("events"))
+    one = [] if keys else [(F.coalesce(F.length(path), F.lit(0)) * 0).alias("_one")]  # streams need a key besides the window
+    found = source.groupBy(F.session_window(F.col(at), gap).alias("w"), *keys, *one).agg(F.array_sort(F.collect_set(path)).alias("paths"), F.count(F.lit(1)).alias("events"))
     return found.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "paths", "events")
 
 
