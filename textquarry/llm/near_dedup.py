@@ -15,6 +15,8 @@ from textquarry.llm.textvec import U64, blocks, mix, windows, words
 
 #: Words of a shingle; coordinates of a sketch and how many make a band; least Jaccard similarity of near duplicates.
 SHINGLE, COORDINATES, BAND, THRESHOLD = 3, 160, 4, 0.5
+#: About how many texts are compared with one in a task.
+FOLLOWERS = 2000
 
 
 def shingles(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +107,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(contents: DataFrame, first: DataFrame, pairs: DataFrame, tables: Tables, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose texts' shingle sets reach the threshold. first: the one row that stands for a cid."""
-    both = pairs.select(F.col("a").alias("lead"), F.explode(F.array("a", "b")).alias("cid")).distinct()
+    """Pairs (a, b) whose texts' shingle sets reach the threshold. first: the one row that stands for a cid.
+
+    The texts compared with one come to the task that has it; more than FOLLOWERS are spread over several that have it.
+    """
+    size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / F.lit(FOLLOWERS)).cast("long"))
+    salted = pairs.join(size, "a").select(F.col("a").alias("lead"), salt.alias("salt"), "b")
+    both = salted.select("lead", "salt", F.explode(F.array("lead", "b")).alias("cid")).distinct()
     wanted = tables.write(both.join(first, "cid"))
-    wanted = wanted.select("lead", F.col("cid").alias("c"), F.col("id").alias("i"))
-    texts = contents.join(small(wanted, 40), (F.col("cid") == F.col("c")) & F.col("id").eqNullSafe(F.col("i"))).select("lead", "cid", "text")
-    ordered = texts.repartition("lead").sortWithinPartitions("lead", F.col("cid") != F.col("lead"), "cid")
+    wanted = wanted.select("lead", "salt", F.col("cid").alias("c"), F.col("id").alias("i"))
+    texts = contents.join(small(wanted, 80), (F.col("cid") == F.col("c")) & F.col("id").eqNullSafe(F.col("i"))).select("lead", "cid", "text", "salt")
+    ordered = texts.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("cid") != F.col("lead"), "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
