@@ -9,6 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.01
 #: A document is accepted if its most likely language has at least this calibrated probability.
 MIN_PROB = 0.5
 FEATURES = 1 << BITS
+#: Tasks whose counts are added up together.
+MERGED = 256
 
 
 @cache
@@ -82,7 +85,11 @@ def document_frequency(texts: list[str]) -> np.ndarray:
 
 
 def count_documents(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Document frequencies and the number of texts, over all rows; partial counts are added up by slices of features."""
+    """Document frequencies and the number of texts, over all rows.
+
+    Partial counts are added up by slices of features, first of every MERGED tasks, then of all: no task holds more than
+    MERGED or tasks / MERGED partial slices of 32 kB.
+    """
     slices = 16
     width = FEATURES // slices
 
@@ -94,14 +101,16 @@ def count_documents(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
                 df += document_frequency(texts)
                 n += len(texts)
         rows = [df[i * width : (i + 1) * width].tobytes() for i in range(slices)] + [np.array([n], np.int64).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices + 1), pa.int32()), pa.array(rows, pa.binary())], ["slice", "counts"])
+        part = TaskContext.get().partitionId() // MERGED
+        yield pa.RecordBatch.from_arrays([pa.array([part] * (slices + 1), pa.int32()), pa.array(range(slices + 1), pa.int32()), pa.array(rows, pa.binary())], ["part", "slice", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
 
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "slice int, counts binary")
-    found = {r["slice"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in parts.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()}
+    kind = "part int, slice int, counts binary"
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, kind).groupBy("part", "slice").applyInArrow(add, kind).groupBy("slice").applyInArrow(add, kind)
+    found = {r["slice"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in parts.collect()}
     df = np.concatenate([found.get(i, np.zeros(width, np.int64)) for i in range(slices)])
     return df, int(found[slices][0]) if slices in found else 0
 
