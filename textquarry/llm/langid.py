@@ -23,7 +23,7 @@ SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, EPOCHS = 1500, 200, 3
 #: Follow-the-regularised-leader: learning rate, smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.01
 #: A document is accepted if its most likely language has at least this calibrated probability.
-MIN_PROB = 0.5
+MIN_PROB = 0.4
 FEATURES = 1 << BITS
 #: Tasks whose counts are added up together.
 MERGED = 256
