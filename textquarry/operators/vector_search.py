@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from textquarry.functions import tokens as T
 
 RRF_K, FIRST, SECOND = 60, 0.05, 0.02
+#: Up to so many queries are broadcast; more are joined as Spark sees fit.
+QUERY_ROWS = 10_000
 
 
 def _col(c: str | Column) -> Column:
@@ -43,6 +45,12 @@ def normalised(a: str | Column) -> Column:
 METRICS = {"cosine": (cosine, True), "dot": (dot, True), "euclid": (euclid, False)}
 
 
+def few(queries: DataFrame, most: int = QUERY_ROWS) -> DataFrame:
+    """The frame itself, or, if it has no more rows than that, its rows, computed once and marked for broadcast."""
+    rows = queries.limit(most + 1).collect()
+    return F.broadcast(queries.sparkSession.createDataFrame(rows, queries.schema)) if len(rows) <= most else queries
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id", where: Column | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k best points of each query, exactly; ties by key.
 
@@ -51,7 +59,7 @@ def knn(points: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine"
     """
     score, more = METRICS[metric]
     held = points.where(where) if where is not None else points
-    pairs = held.select(F.col(key).alias("key"), F.col(vector).alias("v")).crossJoin(queries.select("query_id", "query_vector"))
+    pairs = held.select(F.col(key).alias("key"), F.col(vector).alias("v")).crossJoin(few(queries.select("query_id", "query_vector")))
     scored = pairs.select("query_id", "key", score("v", "query_vector").alias("score"))
     near = Window.partitionBy("query_id").orderBy(F.desc("score") if more else F.asc("score"), "key")
     ranked = scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)

@@ -60,7 +60,7 @@ def knn_euclid(spark: SparkSession, folder: str) -> DataFrame:
 def knn_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest points of other labels."""
     q = centroids(spark, folder)
-    pairs = points(spark, folder).select("vec_id", "label", F.col("embedding").alias("v")).crossJoin(q).where("label <> query_id")
+    pairs = points(spark, folder).select("vec_id", "label", F.col("embedding").alias("v")).crossJoin(V.few(q)).where("label <> query_id")
     scored = pairs.select("query_id", "vec_id", V.cosine("v", "query_vector").alias("score"))
     return _shown(V.ranked(scored, key="vec_id").where("rank <= 10"))
 
