@@ -150,10 +150,10 @@ def test_incremental(spark):
 
 
 def test_protocol(spark):
-    text = 'const q = {\n  operationName: "GetUsers",\n  variables: { id: 1 }\n}\nconst r = client.post("/api/v1/messages/send", { body: text })\nreturn r.data.items\n'
+    text = 'const q = {\n  operationName: "GetUsers",\n  variables: { id: 1 }\n}\nconst r = http.post("/api/v2/orders/new", { body: order })\nreturn r.data.items\n'
     df = spark.createDataFrame([("a.js", text), ("b.js", "nothing here"), ("c.js", None)], "file_path string, text string")
     got = {r.transport: r for r in R.contracts(df).collect()}
-    assert got["graphql"].operation_name == "GetUsers" and got["rest_post"].endpoint == "/api/v1/messages/send"
+    assert got["graphql"].operation_name == "GetUsers" and got["rest_post"].endpoint == "/api/v2/orders/new"
     assert R.contracts(df, min_score=20).collect() == [] and R.contracts(df, "zebra").collect() == []
 
 

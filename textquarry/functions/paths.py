@@ -76,9 +76,13 @@ def count_of(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [((F.length(text) - F.length(F.replace(text, F.lit(p)))) / len(p)).cast("long") for p in parts])
 
 
+#: Words of control flow, and what may follow them.
+MARKS = {"while": " (", "for": " (", "switch": " (", "match": " ", "catch": " (", "except": " :", "elif": " ", "if": " (", "else": ("{", " {", " if")}
+
+
 def complexity(text: _C) -> Column:
     """Marks of control flow."""
-    marks = ["if ", "if(", "else if", "elif ", "else{", "else {", "for ", "for(", "while ", "while("] + ["match ", "switch ", "switch(", "catch ", "catch("] + ["except ", "except:", "? ", "&&", "||", "??"]
+    marks = ["??", "||", "&&", "? ", *[w + e for w, ends in MARKS.items() for e in ends]]
     return count_of(F.lower(_col(text)), marks)
 
 
@@ -98,7 +102,7 @@ def file_role(kinds: _C, text: _C) -> Column:
     """By the share of imports, then of definitions among the symbol kinds, then by content."""
     k = _col(kinds)
     share = lambda names: F.size(F.filter(k, lambda x: x.isin(*names))) / F.size(k)
-    return F.when(F.coalesce(F.size(k), F.lit(0)) <= 0, "implementation").when(share(["import"]) > 0.6, "import").when(share(["class", "struct", "enum", "interface", "trait", "type_alias"]) > 0.3, "definition").otherwise(content_role(text))
+    return F.when(F.coalesce(F.size(k), F.lit(0)) <= 0, "implementation").when(share(["import"]) > 0.6, "import").when(share("type_alias trait interface enum struct class".split()) > 0.3, "definition").otherwise(content_role(text))
 
 
 def role_boost(role: _C) -> Column:

@@ -16,6 +16,7 @@ from textquarry.operators import text_search as S
 
 FLOW = frozenset("across through between without before after into carried carry copied copy generated route routed dependencies dependency importers callers cross".split())
 STRUCTURE = frozenset("wrappers wrapper coverage client server latency benchmark context graph collection filters filter indexing indexed index vectors vector payloads payload prefix path reindex shadow".split())
+COPYING, COPIED = frozenset("reindex shadow copied copy".split()), frozenset("points indexed index collection".split())
 GRAPH = frozenset("import imports imported importers importer dependency dependencies depends callers caller calls called graph trace".split())
 
 
@@ -44,7 +45,7 @@ def symbol_score(name: str, question: str) -> int:
 def symbol_candidate(question: str) -> str | None:
     """The likeliest identifier in a question, if it scores 5 or more."""
     words = [question.strip()] if re.fullmatch(r"[\w.:#]+", question.strip()) else []
-    words += re.findall(r"`([^`]+)`", question) + re.findall(r"[A-Za-z_]\w*(?:(?:\.|::|#)[A-Za-z_]\w*)*", question)
+    words += re.findall("`(.+?)`", question) + re.findall(r"[A-Za-z_](?:[\w.:#]*\w)?", question)
     cleaned = [w.strip("`.,?!()") for w in words]
     best = max(dict.fromkeys(cleaned), key=lambda w: symbol_score(w, question), default=None)
     return best if best and symbol_score(best, question) >= 5 else None
@@ -57,7 +58,7 @@ def wants_bundle(question: str) -> bool:
     words = set(T.keywords_py(question, 20))
     if len(words) < 6:
         return False
-    if words & {"copy", "copied", "shadow", "reindex"} and words & {"collection", "index", "indexed", "points"}:
+    if words & COPYING and words & COPIED:
         return True
     return bool(words & FLOW) and len(words & STRUCTURE) >= 2
 

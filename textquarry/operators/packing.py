@@ -80,7 +80,7 @@ IMPORTS = {"python": r"^\s*(import|from)\s", "rust": r"^\s*(pub\s+)?use\s", "go"
 
 
 def _collapse(lines: list[str]) -> list[str]:
-    out: list[str] = []
+    out = []
     for x in lines:
         if x.strip() or not out or out[-1].strip():
             out.append(x)
@@ -218,7 +218,7 @@ def chunk_files(files: DataFrame, size: int = 4000) -> DataFrame:
     return files.select("file_path", "language", "text").mapInArrow(run, "file_path string, language string, no long, start long, end long, line_start long, line_end long, source string")
 
 
-SIGNALS = {"service": r"\b([A-Z]\w*(?:Service|Client|Manager|Controller|Provider|Repository))\b", "type": r"\b(?:class|interface|enum|struct)\s+([A-Za-z_]\w+)", "method": r"\b(?:function|def|fn|func)\s+([A-Za-z_]\w+)", "call": r"\b(\w+(?:\.\w+)+)\s*\(", "field": r"[\"']([a-z][A-Za-z0-9_]{2,40})[\"']\s*:", "string": r"[\"']([^\"'\n]{12,120})[\"']"}
+SIGNALS = {"service": r"\b([A-Z]\w*(?:Service|Client|Manager|Controller|Provider|Repository))\b", "type": r"\b(?:class|interface|enum|struct)\s+([A-Za-z_]\w+)", "method": r"\b(?:function|def|fn|func)\s+([A-Za-z_]\w+)", "call": r"\b(\w+(?:\.\w+)+)\s*\(", "field": r"[\"']([a-z]\w{2,40})[\"']\s*:", "string": r"[\"']([^\"'\n]{12,120})[\"']"}
 
 
 def signals(files: DataFrame, most: int = 12) -> DataFrame:
@@ -228,7 +228,7 @@ def signals(files: DataFrame, most: int = 12) -> DataFrame:
     for kind, pattern in SIGNALS.items():
         part = files.select("file_path", "text", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("value")).groupBy("file_path", "value").agg(F.count(F.lit(1)).alias("count"), (F.instr(F.first("text"), F.col("value")) - 1).alias("offset")).withColumn("kind", F.lit(kind))
         found = part if found is None else found.unionByName(part)
-    parts = found.select("file_path", "kind", "value", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("value", r"([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+"))).alias("part")).where("part != ''")
+    parts = found.select("file_path", "kind", "value", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("value", "(?<=[a-z0-9])(?=[A-Z])", " ")), r"[^a-z0-9]+"))).alias("part")).where("part != ''")
     df = parts.groupBy("part").agg(F.countDistinct("file_path").alias("df"))
     rare = parts.join(df, "part").groupBy("file_path", "kind", "value").agg(F.sum(F.lit(1.0) / F.col("df")).alias("rarity"))
     order = Window.partitionBy("file_path", "kind").orderBy(F.desc("rarity"), "value")

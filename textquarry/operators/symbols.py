@@ -21,7 +21,7 @@ SYMBOLS = "file_path string, language string, name string, kind string, line_sta
 
 #: Language -> (kind, pattern) of declarations that stand on one line; the name is group 1.
 LINE_RULES: dict[str, list[tuple[str, str]]] = {
-    "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type_alias", r"^\s*(?:export\s+)?type\s+(\w+)\s*="), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)"), ("import", r"^\s*import\b.*?['\"]([^'\"]+)['\"]")],
+    "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type_alias", r"^\s*(?:export\s+)?type\s+(\w+)\s*="), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)"), ("import", r"^\s*import\b.*?(?:'|\")([^'\"]+)")],
     "rust": [("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)"), ("constant", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(\w+)\s*:"), ("type_alias", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)"), ("module", r"^\s*(?:pub\s+)?mod\s+(\w+)"), ("import", r"^\s*(?:pub\s+)?use\s+([\w:]+)")],
     "go": [("function", r"^func\s+(\w+)"), ("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("constant", r"^const\s+(\w+)")],
     "java": [("class", r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed|partial|internal)\s+)*class\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected|internal)\s+)*interface\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|internal)\s+)*enum\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|override|virtual|async|internal)\s+)+[\w<>\[\],.? ]+\s+(\w+)\s*\([^;]*$"), ("import", r"^\s*(?:import(?:\s+static)?|using)\s+([\w.]+)\s*;")],
@@ -36,7 +36,7 @@ LINE_RULES: dict[str, list[tuple[str, str]]] = {
     "swift": [("class", r"^\s*(?:(?:public|private|open|final|internal)\s+)*class\s+(\w+)"), ("struct", r"^\s*(?:(?:public|private|internal)\s+)*struct\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|indirect)\s+)*enum\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private)\s+)*protocol\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|static|override|mutating)\s+)*func\s+(\w+)"), ("import", r"^\s*import\s+(\w+)")],
     "scala": [("class", r"^\s*(?:(?:sealed|abstract|final|case|private)\s+)*class\s+(\w+)"), ("module", r"^\s*(?:case\s+)?object\s+(\w+)"), ("trait", r"^\s*(?:sealed\s+)?trait\s+(\w+)"), ("function", r"^\s*(?:(?:override|private|protected|implicit|final)\s+)*def\s+(\w+)"), ("import", r"^\s*import\s+([\w.]+)")],
     "lua": [("function", r"^\s*(?:local\s+)?function\s+([\w.:]+)"), ("import", r"require\s*\(?\s*['\"]([^'\"]+)")],
-    "elixir": [("module", r"^\s*defmodule\s+([\w.]+)"), ("function", r"^\s*defp?\s+(\w+[?!]?)"), ("import", r"^\s*(?:import|alias|use|require)\s+([\w.]+)")],
+    "elixir": [("module", r"^\s*defmodule\s+([\w.]+)"), ("function", r"^\s*defp?\s+(\w+[?!]?)"), ("import", r"^\s*(?:use|alias|require|import)\s+([\w.]+)")],
     "hcl": [("module", r"^\s*(?:resource|module|variable|output|provider|data)\s+\"([^\"]+)\"")],
     "sql": [("struct", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?([\w.\"]+)"), ("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.\"]+)")],
     "protobuf": [("struct", r"^\s*message\s+(\w+)"), ("enum", r"^\s*enum\s+(\w+)"), ("interface", r"^\s*service\s+(\w+)"), ("method", r"^\s*rpc\s+(\w+)"), ("import", r"^\s*import\s+\"([^\"]+)\"")],
@@ -266,7 +266,7 @@ def role(degrees: bool = False) -> Column:
     any_of = lambda parts: reduce(lambda a, b: a | b, parts)
     test = name.isin("specs", "spec", "test", "tests") | name.rlike(r"^(spec|test)[_.]|_(specs|tests|spec|test)$") | any_of([path.contains(f"/{d}/") for d in ("__tests__", "specs", "spec", "tests", "test")])
     config = name.rlike(r"^(config|setup|settings|init_config|load_config|configure)_?|_(config|settings|options|setup)$") & ~F.col("kind").isin("class") | P.file_name("file_path").isin("conftest.py", "setup.cfg", "setup.py", "settings.py", "config.go", "config.js", "config.ts", "config.rs", "config.py")
-    entry = name.isin("main", "run", "serve", "start", "execute", "cli", "app", "handler", "entry", "bootstrap") & F.col("parent").isNull() & (F.col("visibility").isNull() | seen.contains("pub") | seen.contains("export"))
+    entry = name.isin(*"bootstrap entry handler app cli execute start serve run main".split()) & F.col("parent").isNull() & (F.col("visibility").isNull() | seen.contains("pub") | seen.contains("export"))
     leads = name.rlike(r"^(orchestrate|process|handle|dispatch|coordinate|manage|execute|pipeline|workflow|run_all)(_|$)")
     helps = seen.contains("private") | seen.contains("protected") | name.rlike(r"^_(?!_)") | name.rlike("_(aux|impl|internal|util|helper)$")
     out = F.when(F.col("kind").isin(*DEFINITIONS), "definition").when(test, "test").when(config, "configuration").when(~F.col("kind").isin(*CALLABLE), "definition")
@@ -300,7 +300,7 @@ def qualified(query: str) -> tuple[str, str] | None:
     return None
 
 
-def lookup(symbols: DataFrame, query: str, *, limit: int = 50, intent_mode: bool = False, intent_level: int = 2) -> DataFrame:
+def lookup(symbols: DataFrame, query: str, *, intent_level: int = 2, intent_mode: bool = False, limit: int = 50) -> DataFrame:
     """Symbols by shared tokens with the query, exact and qualified names, coverage and kind, best first; ties by place."""
     low = query.lower()
     wanted = intent(query, intent_level) if intent_mode else Intent([], [], 2)
@@ -330,9 +330,9 @@ def lookup(symbols: DataFrame, query: str, *, limit: int = 50, intent_mode: bool
         part = cover < 0.999 if n > 1 else F.lit(False)
         kind = F.lower("kind")
         score = score * (
-            F.when(kind.isin("class", "struct", "enum", "interface", "trait", "module"), F.when(exact, 1.22).when(full, 1.14).otherwise(1.06))
-            .when(kind.isin("function", "method", "constructor", "type_alias"), F.when(exact, 1.16).when(full, 1.08).otherwise(1.03))
-            .when(kind.isin("import", "variable", "property", "constant", "data_key", "decorator"), F.when(exact, 0.98).when(part, 0.54).otherwise(0.86))
+            F.when(kind.isin(*"module trait interface enum struct class".split()), F.when(exact, 1.22).when(full, 1.14).otherwise(1.06))
+            .when(kind.isin(*"type_alias constructor method function".split()), F.when(exact, 1.16).when(full, 1.08).otherwise(1.03))
+            .when(kind.isin(*"decorator data_key constant property variable import".split()), F.when(exact, 0.98).when(part, 0.54).otherwise(0.86))
             .otherwise(1.0)
         )
     return symbols.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "file_path", "line_start", "name").limit(limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,8 +119,8 @@ def keyword_blend(score: Column, overlap: Column, weight: float = 0.3) -> Column
     return score * (1.0 - weight) + overlap * weight
 
 
-STRONG = ("class", "function", "method", "struct", "enum", "trait", "interface")
-WEAK = ("data_key", "variable", "import", "property")
+STRONG = tuple("interface trait enum struct method function class".split())
+WEAK = tuple("property import variable data_key".split())
 
 
 def rescore(df: DataFrame, asked: list[str], *, weight: float = 0.3, rules: list[tuple[str | None, str | None, tuple[str, ...], str, float]] = ()) -> Column:
@@ -175,7 +176,7 @@ def payload_filter(*, language: str | None = None, path: str | None = None, pref
     if path:
         out = out & (F.col("file_path") == path)
     if prefix:
-        p = prefix.lower().replace("\\", "/").strip("/")
+        p = "/".join(filter(None, re.split(r"[\\/]", prefix.lower())))
         out = out & (F.array_contains("path_prefixes", p) | F.lower("file_path").contains(p))
     if kinds:
         out = out & F.col("symbol_kind").isin(*kinds)

@@ -160,11 +160,11 @@ class Project:
     def grep(self, literal: str, *, before: int = 0, after: int = 0, limit: int = 200) -> DataFrame:
         return S.grep(self.table("files"), literal, before=before, after=after, limit=limit, key="file_path")
 
-    def text_search(self, query: str, *, limit: int = 20, intent_mode: bool = False, intent_level: int = 2) -> DataFrame:
-        return S.search(*self._text(), query, limit=limit, intent_mode=intent_mode, intent_level=intent_level)
+    def text_search(self, query: str, *, limit: int = 20, **options) -> DataFrame:
+        return S.search(*self._text(), query, limit=limit, **options)
 
-    def symbol_lookup(self, query: str, *, limit: int = 50, intent_mode: bool = False, intent_level: int = 2) -> DataFrame:
-        return Y.lookup(self.table("symbols"), query, limit=limit, intent_mode=intent_mode, intent_level=intent_level)
+    def symbol_lookup(self, query: str, *, limit: int = 50, **options) -> DataFrame:
+        return Y.lookup(self.table("symbols"), query, limit=limit, **options)
 
     def extract_symbol(self, path: str, name: str) -> DataFrame:
         return Y.symbol(self.table("symbols"), name, path)
@@ -222,7 +222,7 @@ class Project:
         rated = rows.withColumn("score", V.rescore(rows, words, weight=preset.get("keyword_weight", weight)))
         return V.ranked(rated, key="chunk_id")
 
-    def semantic_search(self, text: str, *, mode: str = "hybrid", limit: int = 5, language: str | None = None, path_prefix: str | None = None, kinds: list[str] | None = None, keyword_weight: float = 0.3, bias: str | None = None, include_source: bool = True) -> DataFrame:
+    def semantic_search(self, text: str, *, limit: int = 5, mode: str = "hybrid", language: str | None = None, path_prefix: str | None = None, kinds: list[str] | None = None, keyword_weight: float = 0.3, bias: str | None = None, include_source: bool = True) -> DataFrame:
         """mode: code, description or hybrid (both, fused). Sources are joined to the final rows only."""
         cond = V.payload_filter(language=language, prefix=path_prefix, kinds=kinds)
         spaces = {"code": ["code"], "description": ["description_vec"], "hybrid": ["code", "description_vec"]}[mode]

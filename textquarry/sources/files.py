@@ -12,7 +12,7 @@ from textquarry.functions.paths import LANGUAGES, detect_language
 
 MAX_BYTES = 2 << 20
 #: Left out besides what ignore files name: folders end in a slash.
-IGNORED = (".git/", ".hg/", ".svn/", ".venv/", "venv/", "node_modules/", "target/", "dist/", "build/", "__pycache__/", ".next/", ".cache/", "coverage/", ".idea/", ".vscode/", "*.lock", "*.min.js", "*.map", "*.log", "*.css", "*.svg")
+IGNORED = tuple("*.svg *.css *.log *.map *.min.js *.lock .vscode/ .idea/ coverage/ .cache/ .next/ __pycache__/ build/ dist/ target/ node_modules/ venv/ .venv/ .svn/ .hg/ .git/".split())
 
 
 def ignore_regex(patterns: list[str] | tuple[str, ...]) -> str:
