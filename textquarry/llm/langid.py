@@ -68,11 +68,11 @@ def _spans(begin: np.ndarray, total: int) -> list[tuple[int, int]]:
     return list(zip(begin.tolist(), [*begin[1:].tolist(), total]))
 
 
-def document_frequency(texts: list[str]) -> np.ndarray:
+def document_frequency(many: list[str]) -> np.ndarray:
     """Of each feature, how many texts hold it."""
     df, mark = np.zeros(FEATURES + 1, np.int64), np.zeros(FEATURES + 1, bool)
-    for a, b in blocks(texts):
-        grams, begin = ngrams(texts[a:b])
+    for a, b in blocks(many):
+        grams, begin = ngrams(many[a:b])
         for s, e in _spans(begin + 0, grams[0].size - 1):
             if (e - s) > 1500:
                 mark[:] = False
@@ -208,7 +208,7 @@ def fit_temperature(scores: np.ndarray, truth: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def sample(docs: DataFrame, *, key: str, text: str, label: str, per_language: int, languages: int) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, *, key: str, text: str, label: str, per_language: int, languages: int) -> tuple[list, list]:
     """At most per_language labelled texts of each of the most frequent languages, by a hash of key and text."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(text).alias("text"))
     counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()
