@@ -148,6 +148,14 @@ def test_line_chunks_round_trip_and_shift(spark):
     assert found[2].text.split("\n")[0] == "new first"
 
 
+def test_line_chunks_of_null_ids_and_repeated_rows(spark):
+    text = "\n".join(f"row {i}" for i in range(40))
+    rows = [(None, text), (None, text), (None, text + "\nmore"), (7, text), (7, text)]
+    found = line_dedup.dedupe(docs(spark, rows)).collect()
+    assert [r.removed_lines for r in found if r.doc_id == 7] == [0, 0]
+    assert all(r.removed_lines >= 35 for r in found if r.doc_id is None)
+
+
 # 4
 
 

@@ -48,8 +48,8 @@ def dedupe(docs: DataFrame, *, key: str = "doc_id", text: str = "text", every: i
     visible character, stay. Hash counts route chunks; their bytes decide. Rows with equal doc_id and text are one
     document here and are treated alike. A null text stays null. An empty table stays empty.
 
-    Moved: a hash a chunk with partial counts; bytes of repeated chunks; and for the rewrite either nothing (the list of
-    removals is small enough to broadcast, as counted) or the texts once.
+    Moved: a hash a chunk with partial counts; of repeated chunks the bytes once a task; and for the rewrite either
+    nothing (the list of removals is small enough to broadcast, as counted) or the texts once.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "lines")
@@ -57,8 +57,16 @@ def dedupe(docs: DataFrame, *, key: str = "doc_id", text: str = "text", every: i
     found = rows.select("doc_id", "cid", F.explode(chunks("text", every)).alias("c")).where((F.col("c.lines") >= 2) & (F.length(F.trim(F.translate("c.text", "\n\t\r", ""))) > 0))
     found = found.select("doc_id", "cid", F.col("c.no").alias("no"), F.col("c.lines").alias("lines"), F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("h"))
     repeated = tables.write(found.groupBy("h").count().where("count > 1").select("h"))
-    order = Window.partitionBy("h", "chunk").orderBy(F.col("doc_id").asc_nulls_last(), "cid", "no")
-    later = found.join(small(repeated, 16), "h", "left_semi").withColumn("rank", F.dense_rank().over(order)).where("rank > 1")
+    again = tables.write(found.join(small(repeated, 16), "h", "left_semi"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cid", "no")
+    # the least and the greatest of a hash's chunks are the same bytes unless hashes collide; partial results keep a
+    # chunk that stands in very many documents from gathering in one task
+    heads = tables.write(again.groupBy("h").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"), F.min(place).alias("head")).select("h", "head", (F.col("least") != F.col("most")).alias("mixed")))
+    placed = again.withColumn("place", place).join(small(heads, 80), "h")
+    order = Window.partitionBy("h", "chunk").orderBy("place")
+    plain = placed.where("NOT mixed AND place != head").select("doc_id", "cid", "no", "lines")
+    mixed = placed.where("mixed").withColumn("rank", F.dense_rank().over(order)).where("rank > 1").select("doc_id", "cid", "no", "lines")
+    later = plain.unionByName(mixed)
     gone = tables.write(later.groupBy(F.col("doc_id").alias("d"), F.col("cid").alias("c")).agg(F.sort_array(F.collect_set("no")).alias("nos"), F.sum("lines").alias("total"), F.count(F.lit(1)).alias("n"), F.countDistinct("no").alias("k")))
     gone = gone.select("d", "c", "nos", (F.col("total") * F.col("k") / F.col("n")).cast("int").alias("removed_lines"))
     joined = rows.join(small(gone, 64), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("cid") == F.col("c")), "left")
