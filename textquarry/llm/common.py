@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast when its rows times their width are no more than this; else the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch of texts where the session has Spark's own number; ten thousand texts take too much memory on
+#: both sides of the pipe.
+BATCH_ROWS, SPARK_BATCH_ROWS = 1000, "10000"
 _own: dict[str, str] = {}
 
 
@@ -88,8 +92,25 @@ def key_string(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("\\N"))
 
 
+def release() -> None:
+    """Gives freed memory of this worker back: it stays for later tasks while others need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of an Arrow batch to BATCH_ROWS, unless it was set to something else than Spark's own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == SPARK_BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str, *, chars: int = 4_000_000, text: str = "text") -> DataFrame:
     """mapInArrow with batches cut so that each holds about `chars` bytes of the text column (a longer text is one)."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -107,5 +128,6 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                         yield from out
                     begin, total = i, 0
                 total += n
+        release()
 
     return df.mapInArrow(run, schema)

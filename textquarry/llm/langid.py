@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import content_id, fresh, map_arrow
+from textquarry.llm.common import content_id, fresh, map_arrow, release, small_batches
 from textquarry.llm.textvec import blocks, code_points, fold_table
 
 #: Sizes of n-grams, hashed to 2**BITS features; SCALE brings relative frequencies to the order of one.
@@ -90,6 +90,7 @@ def count_documents(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     Partial counts are added up by slices of features, first of every MERGED tasks, then of all: no task holds more than
     MERGED or tasks / MERGED partial slices of 32 kB.
     """
+    small_batches(docs.sparkSession)
     slices = 16
     width = FEATURES // slices
 
@@ -102,6 +103,7 @@ def count_documents(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
                 n += len(texts)
         rows = [df[i * width : (i + 1) * width].tobytes() for i in range(slices)] + [np.array([n], np.int64).tobytes()]
         part = TaskContext.get().partitionId() // MERGED
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([part] * (slices + 1), pa.int32()), pa.array(range(slices + 1), pa.int32()), pa.array(rows, pa.binary())], ["part", "slice", "counts"])
 
     def add(table: pa.Table) -> pa.Table:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import Tables, content_id, map_arrow, small
+from textquarry.llm.common import Tables, content_id, map_arrow, release, small
 from textquarry.llm.components import components
 from textquarry.llm.textvec import U64, blocks, mix, windows, words
 
@@ -104,6 +104,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.intersect1d(mine, own, assume_unique=True).size
             a.append(x), b.append(c), score.append(both / max(1, mine.size + own.size - both))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())], ["a", "b", "jaccard"])
+    release()
 
 
 def _verify(contents: DataFrame, first: DataFrame, pairs: DataFrame, tables: Tables, threshold: float) -> DataFrame:
@@ -120,12 +121,7 @@ def _verify(contents: DataFrame, first: DataFrame, pairs: DataFrame, tables: Tab
     texts = contents.join(small(wanted, 80), (F.col("cid") == F.col("c")) & F.col("id").eqNullSafe(F.col("i"))).select("lead", "cid", "text", "salt")
     ordered = texts.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("cid") != F.col("lead"), "cid")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                yield batch.slice(at, 1000)
-
-    scored = ordered.mapInArrow(lambda it: _verified(run(it)), "a long, b long, jaccard double")
+    scored = ordered.mapInArrow(_verified, "a long, b long, jaccard double")
     return tables.write(scored.distinct().where(F.col("jaccard") >= threshold))
 
 
