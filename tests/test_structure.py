@@ -229,7 +229,7 @@ def test_composition(spark, files, symbols):
     hits = spark.createDataFrame([("docs/a.md", 3.0), ("src/b.py", 2.0)], "path string, score double")
     assert {(r.path, r.part) for r in C.split_text(hits, "question", 5).collect()} == {("docs/a.md", "related"), ("src/b.py", "seed")}
     assert [r.file_path for r in C.lexical_related(hits, rows, "question").collect()] == ["src/b.py"]
-    assert C.focus(files, "app/main.py", ["helper", "path"]).first().line_number == 13
+    assert C.focus(files, "app/main.py", ["helper", "path"]).first().line_number == 11
 
 
 def test_sources(spark, tmp_path):
