@@ -110,7 +110,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(contents: DataFrame, first: DataFrame, pairs: DataFrame, tables: Tables, threshold: float) -> DataFrame:
     """Pairs (a, b) whose texts' shingle sets reach the threshold. first: the one row that stands for a cid.
 
-    Candidates grow with the texts, so their join is left to Spark: it shuffles at every size but the least. The texts
+    The candidates' ids (four longs a row) are broadcast up to the counted size, beyond that both sides shuffle. The texts
     compared with one come to the task that has it; more than FOLLOWERS are spread over several that have it.
     """
     size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +119,7 @@ def _verify(contents: DataFrame, first: DataFrame, pairs: DataFrame, tables: Tab
     both = salted.select("lead", "salt", F.explode(F.array("lead", "b")).alias("cid")).distinct()
     wanted = tables.write(both.join(first, "cid"))
     wanted = wanted.select("lead", "salt", F.col("cid").alias("c"), F.col("id").alias("i"))
-    texts = contents.join(wanted, (F.col("cid") == F.col("c")) & F.col("id").eqNullSafe(F.col("i"))).select("lead", "cid", "text", "salt")
+    texts = contents.join(small(wanted, 40), (F.col("cid") == F.col("c")) & F.col("id").eqNullSafe(F.col("i"))).select("lead", "cid", "text", "salt")
     ordered = texts.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("cid") != F.col("lead"), "cid")
 
     scored = ordered.mapInArrow(_verified, "a long, b long, jaccard double")
