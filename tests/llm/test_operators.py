@@ -212,6 +212,12 @@ def test_licenses_every_template_wins_itself():
         assert [x[2] for x in licenses.scan("some words\n\n" + text + "\n\nothers")] == [name], text
 
 
+def test_licenses_every_notice_of_a_line():
+    mit, apache, gpl = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."
+    assert [x[2] for x in licenses.scan(f"{mit} {apache}")] == ["MIT", "Apache-2.0"]
+    assert [x[2] for x in licenses.scan(f"Code: {apache} Docs: {gpl} Tests: {mit} {mit}")] == ["Apache-2.0", "GPL-3.0", "MIT", "MIT"]
+
+
 # 6
 
 

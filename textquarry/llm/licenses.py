@@ -120,26 +120,34 @@ def differences(block: list[str], template: list[str]) -> tuple[int, int, list[s
     return begin, end, out
 
 
+def _confirmed(block: str, at: int) -> list[tuple[int, int, str, float, int, str]]:
+    """Notices of a block that begins at `at`: the best one, then those of what is left before and after it."""
+    marks = list(_word.finditer(block))
+    if not marks:
+        return []
+    _, made = templates()
+    lower = [m.group().lower() for m in marks]
+    best = None
+    for reduction, i in rank(block)[:RANKED]:
+        t = made[-i]
+        begin, end, other = differences(lower, t.words)
+        if len(other) > int(DIFFERENT * len(t.words)) or any(w[1:] in t.must for w in other if w[0] == "-"):
+            continue
+        note = (len(other), -reduction, -i, marks[begin].start(), marks[end - 1].end(), t.license, other)
+        best = min(best, note) if best else note
+    if not best:
+        return []
+    _, _, _, s, e, license, other = best
+    found = (at + s, at + e, license, round(-best[1], 4), len(other), " ".join(other))
+    return [*_confirmed(block[:s], at), found, *_confirmed(block[e:], at + e)]
+
+
 def scan(text: str) -> list[tuple[int, int, str, float, int, str]]:
     """Confirmed notices in order: start, end, license, reduction, number of differing words, those words."""
-    found = []
-    _, made = templates()
-    for s, e in candidate_blocks(text):
-        block = text[s:e]
-        marks = list(_word.finditer(block))
-        lower = [m.group().lower() for m in marks]
-        best = None
-        for reduction, i in rank(block)[:RANKED]:
-            t = made[-i]
-            begin, end, other = differences(lower, t.words)
-            if len(other) > int(DIFFERENT * len(t.words)) or any(w[1:] in t.must for w in other if w[0] == "-"):
-                continue
-            note = (len(other), -reduction, -i, s + marks[begin].start(), s + marks[end - 1].end(), t.license, other)
-            best = min(best, note) if best else note
-        if best:
-            found.append((best[3], best[4], best[5], round(-best[1], 4), best[0], " ".join(best[6])))
+    found = [x for s, e in candidate_blocks(text) for x in _confirmed(text[s:e], s)]
     out: list[tuple[int, int, str, float, int, str]] = []
-    for x in sorted(set(found), key=lambda x: (x[4], -(x[1] - x[0]), x[0])):  # a wording in several blocks counts once
+    # a wording in several blocks counts once
+    for x in sorted(set(found), key=lambda x: (x[4], -(x[1] - x[0]), x[0], -x[3], x[2])):
         if all(x[1] <= y[0] or x[0] >= y[1] for y in out):
             out.append(x)
     return sorted(out)
@@ -150,7 +158,8 @@ def notices(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
 
     Blocks with a cue are compressed with each template as raw dictionary; the RANKED largest reductions are compared
     word by word, and the one with fewest differences wins (ties: the larger reduction, then the earlier template) if
-    no more than DIFFERENT of its words differ and none that it must have. Null and empty texts have none; repeated
+    no more than DIFFERENT of its words differ and none that it must have. What is left before and after it is scanned
+    likewise until nothing is confirmed. Null and empty texts have none; repeated
     rows give repeated finds. Whole texts are searched. Other columns aren't read. An empty table gives no rows. No
     shuffle; texts without any cue don't leave the JVM.
     """
