@@ -218,6 +218,22 @@ def test_licenses_every_notice_of_a_line():
     assert [x[2] for x in licenses.scan(f"Code: {apache} Docs: {gpl} Tests: {mit} {mit}")] == ["Apache-2.0", "GPL-3.0", "MIT", "MIT"]
 
 
+def test_licenses_wrapped_and_inline_in_long_texts(spark):
+    lines = [f"line {i} of a long file" for i in range(100)]
+    rows, names = [], []
+    for i, (name, text, _) in enumerate(licenses.TEMPLATES):
+        cut = text.split()
+        names.append(name)
+        rows.append((4 * i, f"{prose(i, 300)} {text} {prose(i + 100, 300)}"))
+        for k, at in enumerate((1, len(cut) // 2, len(cut) - 1), 1):
+            wrapped = [" ".join(cut[:at]), " ".join(cut[at:])]
+            rows.append((4 * i + k, "\n".join([*lines[:50], *wrapped, *lines[50:]])))
+    found = {}
+    for r in licenses.notices(docs(spark, rows)).collect():
+        found.setdefault(r.doc_id, []).append((r.license, r.differing))
+    assert found == {i: [(names[i // 4], 0)] for i, _ in rows}
+
+
 # 6
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import cache, reduce
 
 import pyarrow as pa
@@ -42,11 +41,12 @@ TEMPLATES: list[tuple[str, str, str]] = [
 ]
 #: A block is looked at if it holds one of these; every template does.
 CUES = ("licen", "copyright", "rights reserved", "public domain", "redistribut", "permission is hereby", "mozilla public")
-#: How many of the best compressions are compared word by word; how much of a template's wording may differ.
-RANKED, DIFFERENT, LEVEL = 5, 0.2, 9
-#: Lines longer than this are taken sentence by sentence.
-LONG_LINE = 400
-_cue = re.compile("|".join(map(re.escape, CUES)), re.IGNORECASE)
+#: How much of a template's wording may differ; of zstandard.
+DIFFERENT, LEVEL = 0.2, 9
+#: Lines longer than this are taken sentence by sentence too; blocks of more words in windows that overlap by the longest
+#: wording, so that every notice lies wholly in one.
+LONG_LINE, WINDOW = 400, 128
+_cue = re.compile("|".join(r"[\W_]+".join(map(re.escape, c.split())) for c in CUES), re.IGNORECASE)
 _word = re.compile(r"[^\W_]+")
 _sentence = re.compile(r"[^.!?]*(?:[.!?](?!\s)[^.!?]*)*(?:[.!?]+|$)\s*")
 
@@ -77,22 +77,21 @@ def _words(text: str) -> list[str]:
 
 
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """Spans with a cue: lines, or sentences of long lines; and all lines around one up to empty lines, if several."""
+    """Spans with a cue: lines, sentences of long ones too; and all lines around one up to empty lines, if several."""
     out: list[tuple[int, int]] = []
     if not _cue.search(text):
         return out
     at, paragraph = 0, []
     for line in [*text.split("\n"), ""]:
         if _cue.search(line):
-            if len(line) <= LONG_LINE:
-                out.append((at, at + len(line)))
-            else:
+            out.append((at, at + len(line)))
+            if len(line) > LONG_LINE:
                 out += [(at + m.start(), at + m.end()) for m in _sentence.finditer(line) if m.group() and _cue.search(m.group())]
         if line.strip():
             paragraph.append((at, at + len(line)))
         else:
             whole = (paragraph[0][0], paragraph[-1][1]) if paragraph else (0, 0)
-            if 1 < len(paragraph) <= 40 and _cue.search(text, *whole):
+            if len(paragraph) > 1 and _cue.search(text, *whole):
                 out.append(whole)
             paragraph = []
         at += len(line) + 1
@@ -107,44 +106,70 @@ def rank(block: str) -> list[tuple[float, int]]:
     return sorted(((1 - len(t.compressor.compress(raw)) / alone, -i) for i, t in enumerate(made)), reverse=True)
 
 
-def differences(block: list[str], template: list[str]) -> tuple[int, int, list[str]]:
-    """Where the wording begins and ends in the block, and the words that differ from the template (-missing, +added)."""
-    same = [m for m in SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
-    if not same:
-        return 0, 0, ["-" + w for w in template]
-    begin, end = same[0].a, same[-1].a + same[-1].size
-    out: list[str] = []
-    for op, a, b, x, y in SequenceMatcher(None, block[begin:end], template, autojunk=False).get_opcodes():
-        if op != "equal":
-            out += ["-" + w for w in template[x:y]] + ["+" + w for w in block[begin + a : begin + b]]
-    return begin, end, out
+def differences(block: list[str], t: Template) -> tuple[int, int, list[str]] | None:
+    """The words of a block that differ least from a template, wherever in it: begin, end, and the differences
+    (-missing, +added); none if more than DIFFERENT of the wording differs or a word that must be there is missing.
+
+    An alignment of the whole template with any part of the block, looked for around one of the words that must be
+    there; of equally good ones that with the earliest end, then the latest begin.
+    """
+    if not t.must <= set(block):
+        return None
+    size, most = len(t.words), int(DIFFERENT * len(t.words))
+    seed = min(sorted(t.must), key=block.count)
+    ranges: list[list[int]] = []
+    for p in (i for i, w in enumerate(block) if w == seed):
+        lo, hi = max(p - size - most, 0), min(p + size + most + 1, len(block))
+        if ranges and lo <= ranges[-1][1]:
+            ranges[-1][1] = hi
+        else:
+            ranges.append([lo, hi])
+    best = None
+    for lo, hi in ranges:
+        # of each number of template words read: how many words differ up to here, minus the begin, the differences
+        column: list[tuple[int, int, tuple[str, ...]] | None] = []
+        for j in range(lo, hi + 1):
+            old, column = column, [(0, -j, ())]
+            for i, w in enumerate(t.words):
+                ways = [old[i]] if old and block[j - 1] == w and old[i] else []
+                if column[i] and w not in t.must and column[i][0] < most:
+                    ways.append((column[i][0] + 1, column[i][1], (*column[i][2], "-" + w)))
+                if old and old[i + 1] and old[i + 1][0] < most:
+                    ways.append((old[i + 1][0] + 1, old[i + 1][1], (*old[i + 1][2], "+" + block[j - 1])))
+                column.append(min(ways) if ways else None)
+            if column[size] and (best is None or column[size][0] < best[0]):
+                best = (column[size][0], -column[size][1], j, list(column[size][2]))
+    return best and best[1:]
 
 
 def _confirmed(block: str, at: int) -> list[tuple[int, int, str, float, int, str]]:
     """Notices of a block that begins at `at`: the best one, then those of what is left before and after it."""
     marks = list(_word.finditer(block))
-    if not marks:
-        return []
-    _, made = templates()
     lower = [m.group().lower() for m in marks]
-    best = None
-    for reduction, i in rank(block)[:RANKED]:
-        t = made[-i]
-        begin, end, other = differences(lower, t.words)
-        if len(other) > int(DIFFERENT * len(t.words)) or any(w[1:] in t.must for w in other if w[0] == "-"):
-            continue
-        note = (len(other), -reduction, -i, marks[begin].start(), marks[end - 1].end(), t.license, other)
-        best = min(best, note) if best else note
-    if not best:
+    _, made = templates()
+    fits = {i: fit for i, t in enumerate(made) if (fit := differences(lower, t))}
+    if not fits:
         return []
-    _, _, _, s, e, license, other = best
-    found = (at + s, at + e, license, round(-best[1], 4), len(other), " ".join(other))
+    other, less, i = min((len(fits[-i][2]), -reduction, -i) for reduction, i in rank(block) if -i in fits)
+    begin, end, words = fits[i]
+    s, e = marks[begin].start(), marks[end - 1].end()
+    found = (at + s, at + e, made[i].license, round(-less, 4), other, " ".join(words))
     return [*_confirmed(block[:s], at), found, *_confirmed(block[e:], at + e)]
 
 
+def _windows(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """The block, or windows of WINDOW words of it."""
+    marks = list(_word.finditer(text, s, e))
+    if len(marks) <= WINDOW:
+        return [(s, e)]
+    step = WINDOW - max(len(t.words) + int(DIFFERENT * len(t.words)) for t in templates()[1])
+    return [(marks[i].start(), marks[min(i + WINDOW, len(marks)) - 1].end()) for i in range(0, len(marks) - WINDOW + step, step)]
+
+
 def scan(text: str) -> list[tuple[int, int, str, float, int, str]]:
     """Confirmed notices in order: start, end, license, reduction, number of differing words, those words."""
-    found = [x for s, e in candidate_blocks(text) for x in _confirmed(text[s:e], s)]
+    parts = dict.fromkeys(p for s, e in candidate_blocks(text) for p in _windows(text, s, e))
+    found = [x for s, e in parts for x in _confirmed(text[s:e], s)]
     out: list[tuple[int, int, str, float, int, str]] = []
     # a wording in several blocks counts once
     for x in sorted(set(found), key=lambda x: (x[4], -(x[1] - x[0]), x[0], -x[3], x[2])):
@@ -156,14 +181,14 @@ def scan(text: str) -> list[tuple[int, int, str, float, int, str]]:
 def notices(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each confirmed notice: doc_id, start, end (characters), license, reduction, differing, differences.
 
-    Blocks with a cue are compressed with each template as raw dictionary; the RANKED largest reductions are compared
-    word by word, and the one with fewest differences wins (ties: the larger reduction, then the earlier template) if
-    no more than DIFFERENT of its words differ and none that it must have. What is left before and after it is scanned
-    likewise until nothing is confirmed. Null and empty texts have none; repeated
-    rows give repeated finds. Whole texts are searched. Other columns aren't read. An empty table gives no rows. No
-    shuffle; texts without any cue don't leave the JVM.
+    The wording of each template is aligned with blocks that have a cue. One is confirmed if no more than DIFFERENT of
+    its words differ and none that it must have; the one with fewest differences wins (ties: the larger reduction of the
+    block's size when compressed with the template as raw dictionary, then the earlier template). What is left before
+    and after it is scanned likewise until nothing is confirmed. Null and empty texts have none; repeated rows give
+    repeated finds. Whole texts are searched, whatever the length of lines and paragraphs. Other columns aren't read. An
+    empty table gives no rows. No shuffle; texts without a word of any cue don't leave the JVM.
     """
-    some = reduce(lambda a, b: a | b, [F.lower("text").contains(c) for c in CUES])
+    some = reduce(lambda a, b: a | b, [F.lower("text").contains(max(c.split(), key=len)) for c in CUES])
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(some)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
