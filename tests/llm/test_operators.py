@@ -184,6 +184,28 @@ def test_pii_finds(text, kind, value):
     assert text[s:e] in text and pii.redact(text) == text[:s] + f"[{kind}]" + text[e:]
 
 
+@pytest.mark.parametrize(
+    ("text", "span", "value"),
+    [
+        ("mail john dot smith at example dot com now", "john dot smith at example dot com", "john.smith@example.com"),
+        ("mail john [dot] smith [at] example [dot] com now", "john [dot] smith [at] example [dot] com", "john.smith@example.com"),
+        ("mail j(dot)r.r dot tolkien (at) mail dot example.org", "j(dot)r.r dot tolkien (at) mail dot example.org", "j.r.r.tolkien@mail.example.org"),
+        ("scrivi a mario at libero dot it oggi", "mario at libero dot it", "mario@libero.it"),
+        ("on the dot jane@example.org", "jane@example.org", "jane@example.org"),
+        ("at the dot jane at example[dot]org", "jane at example[dot]org", "jane@example.org"),
+        *[(f"to jane at example dot {end}.", f"jane at example dot {end}", f"jane@example.{end}") for end in "at be us me cz in".split()],
+    ],
+)
+def test_pii_spelled_dots_anywhere_in_addresses(text, span, value):
+    assert [(k, text[s:e], v) for k, s, e, v, _ in pii.detect(text)] == [("email", span, value)]
+    assert pii.redact(text) == text.replace(span, "[email]")
+
+
+@pytest.mark.parametrize("text", ["look at the dot in the middle", "they arrived at a dot to be sure", "a dot at the end", "look at this dot is it"])
+def test_pii_leaves_dots_in_prose(text):
+    assert pii.detect(text) == []
+
+
 @pytest.mark.parametrize("text", ["we met at the dot on the map", "un un un un un un un un", "version 1.2.3.4.5", "12345", "look at the dot", "one two three", "1234567890123456"])
 def test_pii_leaves_clean_text(text):
     assert pii.detect(text) == []
