@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from textquarry.operators import text_index as I
 from textquarry.operators import text_search as S
 from textquarry.operators import vector_search as V
+from textquarry.plans import catalog
 
 FILES = [
     (1, "src/auth/token.py", "python", "def authentication(token):\n    check(token)\n    return authentication"),
@@ -116,3 +118,17 @@ def test_rescore_and_filters(spark):
     assert up[0][0] > a
     p = rows.withColumn("path_prefixes", F.array(F.lit("src"), F.lit("src/auth.py"))).withColumn("language", F.lit("python"))
     assert p.where(V.payload_filter(language="python", prefix="src", kinds=["function"])).count() == 1
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_path_blend", "bm25_batch_benchmark"])
+def test_registered_queries_count_every_document(spark, tmp_path, name):
+    rows = [(i, f"thing nting word{i}", "en", "s") for i in range(8)] + [(20, "thing " + "filler " * 400_000, "en", "s"), (21, "nting\x00thing", "en", "s"), (22, None, "en", "s")]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nting thing"), (2, "word3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    rel = con.execute(catalog.oracle_sql()[name])
+    names = [c[0] for c in rel.description]
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(rel.fetchall())

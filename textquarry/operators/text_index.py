@@ -38,9 +38,10 @@ def term_counts(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return found.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc", "tf")
 
 
-def build(files: DataFrame, *, key: str = "doc", path: str = "path", text: str = "text", language: str = "language") -> TextIndex:
-    """Index of files. Texts over 2 MiB or with a NUL character are left out; the base name counts four times more."""
-    ok = files.where((F.octet_length(text) <= MAX_BYTES) & ~F.col(text).contains("\x00"))
+def build(files: DataFrame, *, key: str = "doc", path: str = "path", text: str = "text", language: str = "language", whole: bool = False) -> TextIndex:
+    """Index of files. Texts over 2 MiB or with a NUL character, and null ones, are left out, unless the whole table is
+    asked for; the base name counts four times more."""
+    ok = files if whole else files.where((F.octet_length(text) <= MAX_BYTES) & ~F.col(text).contains("\x00"))
     postings = term_counts(ok, key, F.col(text))
     name = F.substring_index(F.col(path), "/", -1)
     weighed = F.concat_ws(" ", F.col(path), *[name] * BASENAME_COPIES)

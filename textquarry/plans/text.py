@@ -46,7 +46,7 @@ def benchmark_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def benchmark_hits(spark: SparkSession, folder: str, k: int) -> DataFrame:
     """The k best documents of each benchmark item: query, doc, score (rounded), rank; ties by doc."""
-    found = I.bm25(I.build(files(spark, folder)), benchmark_terms(spark, folder), paths=False, few=False).withColumn("score", F.round("score", 6))
+    found = I.bm25(I.build(files(spark, folder), whole=True), benchmark_terms(spark, folder), paths=False, few=False).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -92,14 +92,14 @@ both_ AS (SELECT doc_id, {ONE} AS s FROM post JOIN dfs USING (term) JOIN lens US
 SELECT doc_id, round(sum(s), 6) AS score FROM both_ GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
 def bm25_path_blend(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty best documents by content and half the path score."""
-    found = I.bm25(I.build(files(spark, folder)), I.query_frame(spark, {"q": BLEND}))
+    found = I.bm25(I.build(files(spark, folder), whole=True), I.query_frame(spark, {"q": BLEND}))
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(f"WITH {SCORED} SELECT doc_id, round(sum({ONE}), 6) AS score FROM post JOIN dfs USING (term) JOIN lens USING (doc_id), stat WHERE term IN ('nting', 'thing', 'ererly') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents for one query, by content."""
-    found = I.bm25(I.build(files(spark, folder)), I.query_frame(spark, {"q": "nting thing ererly"}), paths=False)
+    found = I.bm25(I.build(files(spark, folder), whole=True), I.query_frame(spark, {"q": "nting thing ererly"}), paths=False)
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
@@ -107,14 +107,14 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
     """Ranked search with a boolean expression, a language filter, boosts and snippets."""
     docs = files(spark, folder)
-    return S.search(docs, I.build(docs), '(nting OR thing) AND "of the" lang:en')
+    return S.search(docs, I.build(docs, whole=True), '(nting OR thing) AND "of the" lang:en')
 
 
 @query()
 def text_search_fast(spark: SparkSession, folder: str) -> DataFrame:
     """Ranked search of plain words with intent expansion: texts are read for the final rows only."""
     docs = files(spark, folder)
-    return S.search(docs, I.build(docs), "thing nting token", intent_mode=True)
+    return S.search(docs, I.build(docs, whole=True), "thing nting token", intent_mode=True)
 
 
 def _matching(spark: SparkSession, folder: str, text: str) -> DataFrame:
