@@ -12,7 +12,7 @@ from brute import fold, jaccard, leaks, near_groups, repeated_spans
 from pyspark.sql import functions as F
 
 from textquarry.llm import components, decontaminate, exact_dedup, langid, licenses, line_dedup, mixing, near_dedup, pii, queries, repeats, sharding
-from textquarry.llm.common import Tables
+from textquarry.llm.common import Tables, maybe_in
 from textquarry.llm.textvec import words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -321,6 +321,29 @@ def test_near_groups_against_all_pairs(spark):
     assert kept == {r[0] for r in rows} - dropped
 
 
+def test_near_groups_of_small_blocks_and_no_broadcast(spark, monkeypatch):
+    """Blocks, salts and bitmaps of any size give the same groups: chains of texts that are only alike one by one."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "FOLLOWERS", 1)
+    base, rows = prose(77, 60).split(), []
+    for i in range(14):
+        base[4 * i : 4 * i + 4] = [f"n{i}x{k}" for k in range(4)]
+        rows.append((i, " ".join(base)))
+    rows += [(14 + i, prose(78, 40)) for i in range(5)] + [(19 + i, prose(300 + i, 30)) for i in range(6)]
+    found: dict[int, set[int]] = {}
+    for r in near_dedup.groups(docs(spark, rows)).collect():
+        found.setdefault(r.group_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, near_groups(rows)))
+
+
+def test_bitmap_lets_all_keys_through(spark):
+    keys = Tables(spark, "t").write(spark.range(0, 5000, 5).select(F.xxhash64("id").alias("k")))
+    for bits in (64, 1 << 26):
+        held = {r.id for r in spark.range(5000).where(maybe_in(keys, F.xxhash64("id"), bits)).collect()}
+        assert held >= set(range(0, 5000, 5)) and (bits == 64 or len(held) < 1600)
+    assert spark.range(9).where(maybe_in(keys.limit(0), F.col("id"))).count() == 0
+
+
 def test_near_recall_by_similarity(spark):
     """At a similarity of .6 and more nearly all pairs are found."""
     rng, rows, pairs = random.Random(13), [], []

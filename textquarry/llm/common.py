@@ -8,12 +8,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast when its rows times their width are no more than this; else the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Most bits of a bitmap of keys (8 MB, however many keys there are).
+BITMAP_BITS = 1 << 26
 #: Rows of an Arrow batch of texts where the session has Spark's own number; ten thousand texts take too much memory on
 #: both sides of the pipe.
 BATCH_ROWS, SPARK_BATCH_ROWS = 1000, "10000"
@@ -61,6 +64,29 @@ def small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFra
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def maybe_in(keys: DataFrame, value: Column, most_bits: int = BITMAP_BITS) -> Column:
+    """Whether the 64-bit number `value` may be among those of the one column of keys: true for all that are, and for few
+    others as long as keys are fewer than bits.
+
+    It thins out wide rows before a join that decides, so that a join shuffles what it needs at every size and nothing
+    that grows with the data is broadcast: a bitmap has at most most_bits, and at most a word each 64 of them comes to
+    the driver. keys should be a written table, as it is counted.
+    """
+    bits = 64
+    wanted = 16 * keys.count()
+    while bits < min(wanted, most_bits):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long"))
+    word = lambda c: F.shiftright(place(c), 6).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    key = F.col(keys.columns[0])
+    found = keys.select(word(key).alias("word"), bit(key).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    one = keys.sparkSession.createDataFrame(pa.table({"bits": pa.array([table], pa.list_(pa.int64()))}))
+    return one.scalar()[word(value)].bitwiseAND(bit(value)) != 0
+
+
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
     """Column names that clash with none of the taken ones, whatever the case."""
     low, out = {c.lower() for c in taken}, []

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import Tables, content_id, map_arrow, release, small
+from textquarry.llm.common import Tables, content_id, fresh, map_arrow, maybe_in, release
 from textquarry.llm.components import components
 from textquarry.llm.textvec import U64, blocks, mix, windows, words
 
 #: Words of a shingle; coordinates of a sketch and how many make a band; least Jaccard similarity of near duplicates.
 SHINGLE, COORDINATES, BAND, THRESHOLD = 3, 160, 4, 0.5
-#: About how many texts are compared with one in a task.
-FOLLOWERS = 2000
+#: About how many texts are compared with one in a task; about how many of a block are compared with each other.
+FOLLOWERS, BLOCK = 2000, 500
 
 
 def shingles(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +74,62 @@ def bands(sketches: np.ndarray, size: int = BAND) -> np.ndarray:
     return keys
 
 
-def _bands_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = batch.column(1).to_pylist()
+def _bands_of(batch: pa.RecordBatch, parts: int) -> pa.RecordBatch:
+    """Rows (cid, text) -> rows (part, bands, cids, leads): packed arrays of the bands of this batch's contents.
+
+    A band that several contents of the batch share goes on once, with the least of them; all of them, with that least
+    one as lead, are in the row of part -1, which nobody shuffles. So of a band that a third of all rows have a few rows
+    a batch travel, whatever their number.
+    """
+    cids, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+    texts = [batch.column(1)[int(i)].as_py() for i in at]
     hashed, owner = shingles(texts)
     keys = bands(sketch(hashed, owner, len(texts)))
     some = np.flatnonzero(np.bincount(owner, minlength=len(texts)) > 0)
-    flat = pa.array(keys[some].reshape(-1).view(np.int64))
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(some.size + 1, dtype=np.int32) * keys.shape[1]), flat)
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists], ["cid", "bands"])
+    key, who = keys[some].reshape(-1), np.repeat(cids[some], keys.shape[1])
+    order = np.argsort(key, kind="stable")
+    key, who = key[order], who[order]
+    head = np.append(True, key[1:] != key[:-1])[: key.size]
+    lead = who[np.maximum.accumulate(np.where(head, np.arange(key.size), 0))] if key.size else who
+    several = ~(head & np.append(head[1:], True)[: key.size])
+    rows = [(-1, key[several], who[several], lead[several])] if several.any() else []
+    key, who = key[head], who[head]
+    part = (key % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    key, who, part = key[order], who[order], part[order]
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if part.size else np.zeros(0, np.int64)
+    rows += [(int(part[a]), key[a:b], who[a:b], who[:0]) for a, b in zip(cuts, np.append(cuts[1:], part.size))]
+    packed = [pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (1, 2, 3)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *packed], ["part", "bands", "cids", "leads"])
+
+
+MEMBERS = "band long, cid long, lead long"
+
+
+def _members(key: np.ndarray, who: np.ndarray, lead: np.ndarray, kind: type = pa.Table):
+    return kind.from_arrays([pa.array(key.view(np.int64)), pa.array(who), pa.array(lead)], ["band", "cid", "lead"])
+
+
+def _unpacked(column, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in column.to_pylist()]])
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _members(_unpacked(batch.column(0), U64), _unpacked(batch.column(1), np.int64), _unpacked(batch.column(2), np.int64), pa.RecordBatch)
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """All packed bands of a part -> members of bands that several contents share, each with the least of them."""
+    key, who = _unpacked(table.column("bands"), U64), _unpacked(table.column("cids"), np.int64)
+    order = np.lexsort((who, key))
+    key, who = key[order], who[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (who[1:] != who[:-1]))[: key.size]
+    key, who = key[new], who[new]
+    head = np.append(True, key[1:] != key[:-1])[: key.size]
+    lead = who[np.maximum.accumulate(np.where(head, np.arange(key.size), 0))] if key.size else who
+    several = ~(head & np.append(head[1:], True)[: key.size])
+    return _members(key[several], who[several], lead[several])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,23 +155,105 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _verify(contents: DataFrame, first: DataFrame, pairs: DataFrame, tables: Tables, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose texts' shingle sets reach the threshold. first: the one row that stands for a cid.
+def _crossed(threshold: float):
+    """Rows (band, low, high, side, cid, root, text), sorted so, of which a band's block pair lies in one task -> similar
+    pairs of contents that aren't in one group yet."""
+
+    def compare(unit: list[tuple[int, int, int, np.ndarray]], out: list[tuple[int, int, float]]) -> None:
+        root: dict[int, int] = {}
 
-    The candidates' ids (four longs a row) are broadcast up to the counted size, beyond that both sides shuffle. The texts
-    compared with one come to the task that has it; more than FOLLOWERS are spread over several that have it.
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        sides = len({u[0] for u in unit}) > 1
+        for i, (side, a, ra, x) in enumerate(unit):
+            for other, b, rb, y in unit[:i]:
+                if (sides and side == other) or min(x.size, y.size) < threshold * max(x.size, y.size):
+                    continue
+                u, v = find(ra), find(rb)
+                if u == v:
+                    continue
+                both = np.intersect1d(x, y, assume_unique=True).size
+                score = both / max(1, x.size + y.size - both)
+                if score >= threshold:
+                    out.append((min(a, b), max(a, b), score))
+                    root[max(u, v)] = min(u, v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, name, last = [], None, None
+        for batch in batches:
+            out: list[tuple[int, int, float]] = []
+            ids = [batch.column(i).to_pylist() for i in range(6)]
+            hashed, owner = shingles(batch.column(6).to_pylist())
+            order = np.argsort(owner, kind="stable")
+            hashed = hashed[order]
+            cuts = np.searchsorted(owner[order], np.arange(batch.num_rows + 1))
+            for i, (band, low, high, side, cid, root) in enumerate(zip(*ids)):
+                if (band, low, high) != name:
+                    compare(unit, out)
+                    unit, name, last = [], (band, low, high), None
+                if cid != last:  # repeated rows
+                    unit.append((side, cid, root, np.unique(hashed[cuts[i] : cuts[i + 1]])))
+                    last = cid
+            yield _pairs(out)
+        out = []
+        compare(unit, out)
+        release()
+        yield _pairs(out)
+
+    def _pairs(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
+
+    return run
+
+
+def _texts(contents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, text) of the contents wanted (a written table of cid): of several rows of one content one comes along, its
+    repetitions apart. Nothing else is shuffled: a bitmap of the wanted ones thins the table out before the join."""
+    held = contents.where(maybe_in(wanted, F.col("cid")))
+    first = held.groupBy("cid").agg(F.min("id").alias("i")).join(wanted, "cid", "left_semi").withColumnRenamed("cid", "c")
+    return held.join(first, (F.col("cid") == F.col("c")) & F.col("id").eqNullSafe(F.col("i"))).select("cid", "text")
+
+
+def _star(contents: DataFrame, star: DataFrame, tables: Tables, threshold: float) -> DataFrame:
+    """Pairs (a, b) of the star whose texts' shingle sets reach the threshold.
+
+    The texts compared with one come to the task that has it; more than FOLLOWERS are spread over several that have it.
     """
-    size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    size = star.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / F.lit(FOLLOWERS)).cast("long"))
-    salted = pairs.join(size, "a").select(F.col("a").alias("lead"), salt.alias("salt"), "b")
-    both = salted.select("lead", "salt", F.explode(F.array("lead", "b")).alias("cid")).distinct()
-    wanted = tables.write(both.join(first, "cid"))
-    wanted = wanted.select("lead", "salt", F.col("cid").alias("c"), F.col("id").alias("i"))
-    texts = contents.join(small(wanted, 40), (F.col("cid") == F.col("c")) & F.col("id").eqNullSafe(F.col("i"))).select("lead", "cid", "text", "salt")
+    salted = star.join(size, "a").select(F.col("a").alias("lead"), salt.alias("salt"), "b")
+    both = tables.write(salted.select("lead", "salt", F.explode(F.array("lead", "b")).alias("cid")).distinct())
+    texts = _texts(contents, tables.write(both.select("cid").distinct())).join(both, "cid").select("lead", "cid", "text", "salt")
     ordered = texts.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("cid") != F.col("lead"), "cid")
-
     scored = ordered.mapInArrow(_verified, "a long, b long, jaccard double")
-    return tables.write(scored.distinct().where(F.col("jaccard") >= threshold))
+    return tables.write(scored.where(F.col("jaccard") >= threshold).distinct())
+
+
+def _mixed(contents: DataFrame, members: DataFrame, star: DataFrame, roots: DataFrame, tables: Tables, threshold: float) -> DataFrame:
+    """Similar pairs of contents that share a band and are in different groups so far.
+
+    A band is mixed if an edge of its star joins two groups. Of bands with the same members one is looked at. Its members
+    are cut into blocks of about BLOCK; all pairs of blocks are compared, each in one task.
+    """
+    node, root = roots.select(F.col("node").alias("cid"), "root"), lambda c: F.coalesce("root", c)
+    ends = star.join(node.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a", "left").join(node.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b", "left")
+    bad = ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(F.xxhash64("a", "b").alias("edge"), "a", "b")
+    bad = tables.write(bad)
+    edges = members.where("cid != lead").where(maybe_in(bad.select("edge"), F.xxhash64("lead", "cid")))
+    found = tables.write(edges.join(bad, (F.col("lead") == F.col("a")) & (F.col("cid") == F.col("b")), "left_semi").select("band").distinct())
+    inside = tables.write(members.where(maybe_in(found, F.col("band"))).join(found, "band", "left_semi").select("band", "cid").distinct())
+    signs = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"), F.min("cid").alias("lo"), F.max("cid").alias("hi")]
+    once = inside.groupBy("band").agg(*signs).groupBy("n", "x", "y", "lo", "hi").agg(F.min("band").alias("band")).select("band", "n")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("cid", F.lit(2)), blocks).cast("int")
+    placed = inside.join(once, "band").join(node, "cid", "left").select("band", "cid", root("cid").alias("root"), own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    units = tables.write(placed.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cid", "root"))
+    texts = _texts(contents, tables.write(units.select("cid").distinct())).join(units, "cid").select("band", "low", "high", "side", "cid", "root", "text")
+    ordered = texts.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "side", "cid")
+    return tables.write(ordered.mapInArrow(_crossed(threshold), "a long, b long, jaccard double").distinct())
 
 
 def content_groups(docs: DataFrame, *, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -133,27 +263,22 @@ def content_groups(docs: DataFrame, *, threshold: float = THRESHOLD) -> tuple[Da
     2. In each bucket compare the least content with all others, exactly; join what is similar.
     3. In each bucket compare all pairs that are still in different groups, exactly; join again.
     So every candidate pair is either compared or known to be in one group: the groups are those that all candidate
-    pairs would give, while a bucket of many copies costs one comparison a copy.
+    pairs would give, while a bucket of many copies costs one comparison a copy. Texts aren't shuffled but those of
+    candidates, at every size of the input.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "near")
+    parts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), content_id("text").alias("cid"), "text")
-    ids = rows.select("id", "cid")
-    first = ids.groupBy("cid").agg(F.min("id").alias("id"))
-    keyed = map_arrow(rows.select("cid", "text"), _bands_of, "cid long, bands array<long>")
-    shared = keyed.select("cid", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("cid").alias("members"))
-    buckets = tables.write(shared.where(F.size("members") > 1).select(F.array_sort("members").alias("members")).distinct())
-    star = buckets.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")).where("a < b").distinct()
-    star = tables.write(star)
-    near = _verify(rows, first, star, tables, threshold)
+    packed = tables.write(map_arrow(rows.select("cid", "text"), lambda b: _bands_of(b, parts), "part int, bands binary, cids binary, leads binary"))
+    local = packed.where("part < 0").select("bands", "cids", "leads").mapInArrow(_local, MEMBERS)
+    met = packed.where("part >= 0").select("part", "bands", "cids").groupBy("part").applyInArrow(_met, MEMBERS)
+    members = tables.write(met.unionByName(local))
+    star = tables.write(members.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
+    near = _star(rows, star, tables, threshold)
     roots = components(near.select("a", "b"), tables)
-    spread = buckets.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("cid"))
-    placed = spread.join(small(roots, 16), spread["cid"] == roots["node"], "left").select("bucket", F.struct(F.coalesce("root", "cid").alias("root"), "cid").alias("m"))
-    mixed = placed.groupBy("bucket").agg(F.collect_list("m").alias("ms"), F.min("m.root").alias("lo"), F.max("m.root").alias("hi")).where("lo < hi")
-    left = mixed.select(F.explode("ms").alias("x"), "ms").select("x", F.explode("ms").alias("y")).where("x.cid < y.cid AND x.root != y.root")
-    left = left.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verify(rows, first, tables.write(left), tables, threshold)
-    return ids, components(near.select("a", "b").unionByName(more.select("a", "b")), tables)
+    more = _mixed(rows, members, star, roots, tables, threshold)
+    return rows.select("id", "cid"), components(near.select("a", "b").unionByName(more.select("a", "b")), tables)
 
 
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -169,7 +294,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshol
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     ids, roots = content_groups(rows, threshold=threshold)
-    member = ids.join(small(roots, 16), ids["cid"] == roots["node"], "left").select(F.col("id").alias("doc_id"), "cid", F.coalesce("root", "cid").alias("root"))
+    member = ids.join(roots, ids["cid"] == roots["node"], "left").select(F.col("id").alias("doc_id"), "cid", F.coalesce("root", "cid").alias("root"))
     size = member.groupBy("root").agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("group_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cid")).alias("best")).where("group_size > 1")
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("cid") == F.col("best.cid"))
     return member.join(size, "root").select("doc_id", "group_id", "group_size", kept.alias("kept"), "cid")
@@ -179,14 +304,14 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresh
     """The rows and columns of docs without the near duplicates that groups() doesn't keep; of equal rows kept, one."""
     found = groups(docs, key=key, text=text, threshold=threshold)
     tables = Tables(docs.sparkSession, "kept")
-    gone = tables.write(found.groupBy("doc_id", "cid").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"))
-    dropped = gone.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("cid").alias("gone_cid"))
-    same = (docs[key].eqNullSafe(F.col("gone_id"))) & (content_id(docs[text]) == F.col("gone_cid"))
-    once = gone.where("kept").select(F.col("doc_id").alias("gone_id"), F.col("cid").alias("gone_cid"))
-    repeated = once.count()
-    left = docs.join(small(dropped, 16), same, "left_anti")
-    if not repeated:
-        return left
-    several = left.join(small(once, 16), (left[key].eqNullSafe(F.col("gone_id"))) & (content_id(left[text]) == F.col("gone_cid")), "left_semi")
-    single = left.join(small(once, 16), (left[key].eqNullSafe(F.col("gone_id"))) & (content_id(left[text]) == F.col("gone_cid")), "left_anti")
-    return single.unionByName(several.dropDuplicates([key, text]))
+    row = lambda i, c: F.xxhash64(F.col(i).cast("string"), F.col(i).isNull(), c)
+    told = found.groupBy("doc_id", "cid").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1")
+    told = tables.write(told.select(row("doc_id", F.col("cid")).alias("row"), F.col("doc_id").alias("told_id"), F.col("cid").alias("told_cid"), F.col("kept").alias("told_kept")))
+    flag, *names = fresh(docs.columns, "told_maybe", "told_id", "told_cid", "told_kept")
+    told = told.select("row", *[F.col(c).alias(n) for c, n in zip(told.columns[1:], names)])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn(flag, F.coalesce(maybe_in(told.select("row"), row(f"`{key}`", content_id(docs[text]))), F.lit(False)))
+    joined = marked.where(F.col(flag)).join(told.drop("row"), docs[key].eqNullSafe(F.col(names[0])) & (content_id(docs[text]) == F.col(names[1])), "left")
+    single = joined.where(F.col(names[2]).isNull()).select(*columns)
+    several = joined.where(F.col(names[2])).select(*columns).dropDuplicates([key, text])
+    return marked.where(~F.col(flag)).select(*columns).unionByName(single).unionByName(several)
