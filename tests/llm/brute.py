@@ -56,22 +56,26 @@ def near_groups(rows: list[tuple[int | None, str | None]], threshold: float = 0.
     return [g for g in groups.values() if len(g) > 1]
 
 
-def repeated_spans(rows: list[tuple[int, str]], length: int = 50) -> set[tuple[int, int, int, int]]:
-    """(doc_id, start, end, words) of maximal runs of words that lie in a window of `length` words that occurs twice."""
+def repeated_spans(rows: list[tuple[int, str]], length: int = 50) -> set[tuple[int, int, int, int, int]]:
+    """(doc_id, start, end, words, other_id) of maximal runs of words that lie in a window of `length` words that occurs
+    twice; other_id: the least other document with such a window, or the document itself."""
     places: dict[tuple, list[tuple[int, int]]] = {}
     worded = [fold(t) for _, t in rows]
     for d, w in enumerate(worded):
         for i in range(len(w) - length + 1):
             places.setdefault(tuple(x[0] for x in w[i : i + length]), []).append((d, i))
     marked = [[False] * len(w) for w in worded]
+    others: list[list[int | None]] = [[None] * len(w) for w in worded]
     for found in places.values():
         if len(found) > 1:
             for d, i in found:
                 marked[d][i : i + length] = [True] * length
+                others[d][i] = min((rows[e][0] for e, _ in found if e != d), default=None)
     out = set()
     for d, flags in enumerate(marked):
         for m in re.finditer("1+", "".join("1" if f else "0" for f in flags)):
-            out.add((rows[d][0], worded[d][m.start()][1], worded[d][m.end() - 1][2], m.end() - m.start()))
+            named = [x for x in others[d][m.start() : m.end()] if x is not None]
+            out.add((rows[d][0], worded[d][m.start()][1], worded[d][m.end() - 1][2], m.end() - m.start(), min(named, default=rows[d][0])))
     return out
 
 

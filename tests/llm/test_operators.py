@@ -77,12 +77,43 @@ def test_all_null_columns(spark, name):
 # 1
 
 
-def test_repeats_against_windows(spark):
-    shared, twice = prose(1, 80), prose(2, 60)
-    rows = [(i, prose(10 + i, 40 + 10 * i)) for i in range(12)]
-    rows += [(20, prose(50, 30) + " " + shared + ". " + prose(51, 20)), (21, prose(52, 5) + "\n" + shared.upper()), (22, shared), (23, twice + " x " + twice), (24, prose(53, 49)), (25, prose(53, 49)), (26, prose(54, 120)), (27, prose(54, 120)[5:])]
-    found = {(r.doc_id, r.start, r.end, r.words) for r in repeats.repeats(docs(spark, rows)).collect()}
-    assert found == repeated_spans(rows)
+SHARED, TWICE, LONG = prose(1, 80), prose(2, 60), prose(60, 600).split()
+REPEATS = [(i, prose(10 + i, 40 + 10 * i)) for i in range(12)] + [
+    (20, prose(50, 30) + " " + SHARED + ". " + prose(51, 20)),
+    (21, prose(52, 5) + "\n" + SHARED.upper()),
+    (22, SHARED),
+    (23, TWICE + " x " + TWICE),
+    (24, prose(53, 49)),
+    (25, prose(53, 49) + " other"),
+    (26, prose(54, 120)),
+    (27, prose(54, 120)[5:]),
+    # one long passage of two texts, of which others have parts
+    (40, prose(61, 30) + " " + " ".join(LONG) + " " + prose(62, 30)),
+    (41, prose(63, 40) + " " + " ".join(LONG)),
+    *[(50 + i, prose(70 + i, 20) + " " + " ".join(LONG[40 * i : 40 * i + 70]) + " " + prose(90 + i, 20)) for i in range(12)],
+]
+
+
+@pytest.mark.parametrize(("hot", "partitions"), [(repeats.HOT, 4), (0, 4), (5, 300)])
+def test_repeats_against_windows(spark, monkeypatch, hot, partitions):
+    """All columns, whatever is split and however many indexes there are."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = {(r.doc_id, r.start, r.end, r.words, r.other_id) for r in repeats.repeats(docs(spark, REPEATS)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == repeated_spans(REPEATS)
+
+
+def test_anchors_of_very_long_documents():
+    rng = np.random.default_rng(2)
+    hashed, doc = rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.repeat([0, 1], [2800, 200])
+    at, h = repeats.anchors(hashed, doc)
+    for most in (100, 333, 2999):
+        parts = repeats.anchors(hashed, doc, most=most)
+        assert np.array_equal(at, parts[0]) and np.array_equal(h, parts[1])
 
 
 def test_repeats_of_copies(spark):
@@ -95,7 +126,7 @@ def test_repeats_of_copies(spark):
 
 def test_repeats_of_periodic_text(spark):
     rows = [(1, "a b " * 100), (2, "x " * 30)]
-    found = {(r.doc_id, r.start, r.end, r.words) for r in repeats.repeats(docs(spark, rows)).collect()}
+    found = {(r.doc_id, r.start, r.end, r.words, r.other_id) for r in repeats.repeats(docs(spark, rows)).collect()}
     assert found == repeated_spans(rows)
 
 

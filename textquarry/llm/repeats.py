@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import Tables, content_id, map_arrow, small
+from textquarry.llm.common import Tables, content_id, map_arrow, maybe_in, small
 from textquarry.llm.textvec import BASE, U64, blocks, powers, windows, words
 
 #: Least words of a passage; words of an anchor. Every passage of LENGTH words holds an anchor chosen by its content.
@@ -18,8 +18,15 @@ LENGTH, ANCHOR = 50, 10
 HOT = 200_000
 
 
-def anchors(hashed: np.ndarray, doc: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of anchors: of every `length` consecutive words of a document the k words of least hash."""
+def anchors(hashed: np.ndarray, doc: np.ndarray, length: int = LENGTH, k: int = ANCHOR, most: int = 1 << 26) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of anchors: of every `length` consecutive words of a document the k words of least hash.
+
+    A place takes 26 bits, so more than `most` words are gone through in overlapping parts.
+    """
+    if hashed.size > most:
+        found = [(at + s, h) for s in range(0, hashed.size - length + 1, most - length + 1) for at, h in [anchors(hashed[s : s + most], doc[s : s + most], length, k, most)]]
+        places, one = np.unique(np.concatenate([at for at, _ in found]), return_index=True)
+        return places, np.concatenate([h for _, h in found])[one]
     v, w = windows(hashed, k), length - k + 1
     if v.size < w:
         return np.zeros(0, np.int64), np.zeros(0, U64)
@@ -91,6 +98,17 @@ class RunIndex:
         after, a = along(self.end_at, self.end_to, self.end_lcp)
         return np.maximum(before, after), np.where(before >= after, b, a)
 
+    def alike(self, length: int) -> np.ndarray:
+        """Of every place the first in suffix order of those that share `length` tokens with it."""
+        place = np.arange(self.n)
+        s = np.searchsorted(self.head_at, place, side="right") - 1
+        gone = place - self.head_at[np.maximum(s, 0)]
+        shared = np.where(s >= 0, self.head_lcp[np.maximum(s, 0)] - gone, 0) >= length
+        to = np.where(shared, self.head_to[np.maximum(s, 0)] + gone, place)
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        return to
+
 
 def common_prefix(tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many tokens the suffixes at a and b share (a != b), by binary search over prefix hashes."""
@@ -140,11 +158,14 @@ def _find_anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "cid", "pos"])
 
 
+SEGMENT = ["piece", "cid", "id", "at", "from", "words", "gaps", "sizes"]
+
+
 def _segments(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows (cid, text, positions, pieces) -> of each text and piece the words around its anchors."""
+    """Rows (cid, id, text, positions, pieces) -> of each text and piece the words around its anchors."""
     reach = LENGTH - ANCHOR
     rows: list[tuple] = []
-    cids, texts, positions, pieces = (batch.column(i).to_pylist() for i in range(4))
+    cids, ids, texts, positions, pieces = (batch.column(i).to_pylist() for i in range(5))
     for a, b in blocks(texts):
         w = words(texts[a:b])
         for d in range(b - a):
@@ -157,22 +178,32 @@ def _segments(batch: pa.RecordBatch) -> pa.RecordBatch:
             first = np.flatnonzero(new)
             last = np.append(first[1:], pos.size) - 1
             for p, s, e in zip(piece[first].tolist(), start[first].tolist(), stop[last].tolist()):
-                rows.append((p, cids[a + d], s, w.hash[lo + s : lo + e].tobytes(), w.start[lo + s : lo + e].astype(np.int32).tobytes(), (w.end - w.start)[lo + s : lo + e].astype(np.int32).tobytes()))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["piece", "cid", "at", "words", "starts", "sizes"])
+                begin, end = w.start[lo + s : lo + e], w.end[lo + s : lo + e]
+                rows.append((p, cids[a + d], ids[a + d], s, int(begin[0]), w.hash[lo + s : lo + e].tobytes(), (begin[1:] - end[:-1]).astype(np.int32).tobytes(), (end - begin).astype(np.int32).tobytes()))
+    kinds = [pa.int64(), pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows)) or [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], SEGMENT)
 
 
-SPAN = "cid long, first int, last int, start int, end int, longest int, other long"
+def _others(group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of each place the least rank in its group that isn't its own; -1 if there is none."""
+    _, g = np.unique(group, return_inverse=True)
+    none = np.iinfo(np.int64).max
+    least, next_ = np.full(g.max() + 1, none), np.full(g.max() + 1, none)
+    np.minimum.at(least, g, rank)
+    rest = rank != least[g]
+    np.minimum.at(next_, g[rest], rank[rest])
+    found = np.where(rest, least[g], next_[g])
+    return np.where(found == none, -1, found)
 
 
 def _mark(table: pa.Table) -> pa.Table:
     """All segments of a piece -> runs of words that lie in a match of LENGTH words or more with another place."""
-    seen: dict[tuple[int, int], tuple[bytes, bytes, bytes]] = {}
+    seen: dict[tuple[int, int], dict] = {}
     for r in table.to_pylist():  # repeated rows give equal segments
-        seen[r["cid"], r["at"]] = r["words"], r["starts"], r["sizes"]
+        seen[r["cid"], r["at"]] = r
     keys = sorted(seen)
-    parts = [np.frombuffer(seen[k][0], U64) for k in keys]
+    parts = [np.frombuffer(seen[k]["words"], U64) for k in keys]
     sizes = np.array([p.size for p in parts])
     begin = np.cumsum(sizes + 1) - sizes - 1
     n = int(sizes.sum() + sizes.size)
@@ -183,7 +214,8 @@ def _mark(table: pa.Table) -> pa.Table:
     _, dense = np.unique(np.concatenate(parts), return_inverse=True)
     tokens[inside] = dense + len(keys)
     tokens[~inside] = np.arange(len(keys))
-    match, other = build(tokens).matching_statistics()
+    index = build(tokens)
+    match, _ = index.matching_statistics()
     hits = np.flatnonzero(match >= LENGTH)
     out: list[tuple] = []
     if hits.size:
@@ -192,17 +224,20 @@ def _mark(table: pa.Table) -> pa.Table:
         np.add.at(cover, hits + match[hits], -1)
         marked = np.concatenate([[0], (np.cumsum(cover[:n]) > 0).view(np.int8), [0]])
         edge = np.flatnonzero(np.diff(marked))
-        cid = np.array([k[0] for k in keys], np.int64)
-        at = np.array([k[1] for k in keys], np.int64)
+        ranked = sorted({(seen[k]["id"] is None, seen[k]["id"], k[0]) for k in keys}, key=lambda x: x if not x[0] else (True, 0, x[2]))
+        rank = {cid: i for i, (_, _, cid) in enumerate(ranked)}
+        others = _others(index.alike(LENGTH)[hits], np.array([rank[k[0]] for k in keys])[owner[hits]])
         for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
             o = int(owner[s])
+            r = seen[keys[o]]
             i, j = s - int(begin[o]), e - int(begin[o])
-            own = hits[np.searchsorted(hits, s) : np.searchsorted(hits, e)]
-            best = int(own[match[own].argmax()])
-            starts, wide = np.frombuffer(seen[keys[o]][1], np.int32), np.frombuffer(seen[keys[o]][2], np.int32)
-            out.append((int(cid[o]), int(at[o]) + i, int(at[o]) + j, int(starts[i]), int(starts[j - 1] + wide[j - 1]), int(match[best]), int(cid[owner[other[best]]])))
-    kinds = [pa.int64(), *[pa.int32()] * 5, pa.int64()]
-    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, kinds)], names=["cid", "first", "last", "start", "end", "longest", "other"])
+            own = others[np.searchsorted(hits, s) : np.searchsorted(hits, e)]
+            own = own[own >= 0]
+            wide = np.frombuffer(r["sizes"], np.int32)
+            starts = r["from"] + np.concatenate([[0], np.cumsum(wide[:-1] + np.frombuffer(r["gaps"], np.int32))])
+            out.append((r["cid"], r["at"] + i, r["at"] + j, int(starts[i]), int(starts[j - 1] + wide[j - 1]), ranked[own.min()][1] if own.size else None))
+    kinds = [pa.int64(), *[pa.int32()] * 4, table.schema.field("id").type]
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], names=["cid", "first", "last", "start", "end", "other"])
 
 
 def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -217,26 +252,30 @@ def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every passage of LENGTH or more words that occurs elsewhere too: doc_id, start, end (characters), words,
-    longest (words of the longest single match in it), other_id (least doc_id of the text it is shared with).
+    """Every passage of LENGTH or more words that occurs elsewhere too: doc_id, start, end (characters), words, other_id
+    (the least doc_id of another text that shares LENGTH words of it; its own if it only repeats within its text).
 
     Words are runs of letters, marks and digits, folded in case and compatibility form. A word is marked if it lies in a
     run of LENGTH words that also stands at another place, in any text, the same one included; a row is a maximal run
     of marked words, and all occurrences are marked. Rows with equal texts are whole passages of each other (other_id:
     the least doc_id, for that itself the greatest); a single document isn't its own copy though its row be repeated.
-    Null texts and texts of fewer words have no passages. A null doc_id stays null. Other columns aren't read. An empty
-    table gives no rows. Texts are told apart by 64-bit hashes.
+    Null and empty texts and texts of fewer words have no passages; of very long ones every word counts. A null doc_id
+    stays null and isn't named as another's. Other columns aren't read. An empty table gives no rows. Texts are told
+    apart by 64-bit hashes.
 
     How: each run of LENGTH words has an anchor, chosen by content. Words around anchors that occur twice go to the
     index of the anchor's owner, the text of least hash that holds it, so neighbouring anchors of a family of copies
     travel together. Each index is a run-compressed transform with sampled run ends; its matching statistics give marks.
+    All places of a run of LENGTH words are in the index of its anchor, so that neither HOT nor the number of indexes
+    tells in the result.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "repeats")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), content_id(text).alias("cid"), F.col(text).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
     contents = tables.write(rows.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 AND (k < n OR hi > lo)"))
     copied = small(contents.select(F.col("cid").alias("c"), "lo", "hi", "n"), 48)
-    first = rows.join(copied, F.col("cid") == F.col("c"), "left").where(F.col("c").isNull() | F.col("id").eqNullSafe(F.col("lo"))).select("cid", "text", (F.col("n") > 1).alias("copied"))
+    first = rows.join(copied, F.col("cid") == F.col("c"), "left").where(F.col("c").isNull() | F.col("id").eqNullSafe(F.col("lo"))).select("cid", "id", "text", (F.col("n") > 1).alias("copied"))
 
     found = map_arrow(first.select("cid", "text"), _find_anchors, "fp long, cid long, pos int")
     same = Window.partitionBy("fp")
@@ -247,21 +286,20 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     split = shared.join(small(hot, 16), F.col("owner") == F.col("hot_owner"), "left")
     piece = F.pmod(F.when(F.col("hot_owner").isNull(), F.xxhash64("owner")).otherwise(F.xxhash64("fp")), F.lit(pieces))
     around = split.select("cid", "pos", piece.alias("piece")).groupBy("cid").agg(F.collect_list("pos").alias("positions"), F.collect_list("piece").alias("pieces"))
-    placed = first.select("cid", "text").join(around, "cid").select("cid", "text", "positions", "pieces")
-    segments = map_arrow(placed, _segments, "piece long, cid long, at int, words binary, starts binary, sizes binary")
-    marks = segments.groupBy("piece").applyInArrow(_mark, SPAN)
+    placed = first.where(maybe_in(tables.write(shared.select("cid").distinct()), F.col("cid"))).select("cid", "id", "text").join(around, "cid").select("cid", "id", "text", "positions", "pieces")
+    segments = map_arrow(placed, _segments, f"piece long, cid long, id {kind}, at int, from int, words binary, gaps binary, sizes binary")
+    marks = segments.groupBy("piece").applyInArrow(_mark, f"cid long, first int, last int, start int, end int, other {kind}")
     by = Window.partitionBy("cid").orderBy("first", "last")
     before = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = marks.withColumn("new", F.when(before.isNull() | (F.col("first") > before), 1).otherwise(0)).withColumn("island", F.sum("new").over(by))
-    merged = island.groupBy("cid", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.struct("longest", "other")).alias("best"))
-    merged = tables.write(merged.select("cid", "start", "end", (F.col("last") - F.col("first")).alias("words"), "best.longest", "best.other"))
+    merged = island.groupBy("cid", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other_id"))
+    merged = tables.write(merged.select("cid", "start", "end", (F.col("last") - F.col("first")).alias("words"), "other_id"))
 
     whole = map_arrow(first.where("copied").select("cid", "text").distinct(), _whole, "cid long, first int, last int, start int, end int")
     whole = tables.write(whole.select("cid", "start", "end", F.col("last").alias("words")))
     ids = rows.select("id", "cid")
-    least = ids.groupBy(F.col("cid").alias("other")).agg(F.min("id").alias("other_id"))
-    named = merged.join(small(whole.select("cid"), 16), "cid", "left_anti").join(least, "other", "left")
-    partial = ids.join(named, "cid").select(F.col("id").alias("doc_id"), "start", "end", "words", "longest", "other_id")
+    named = merged.join(small(whole.select("cid"), 16), "cid", "left_anti")
+    partial = ids.join(named, "cid").select(F.col("id").alias("doc_id"), "start", "end", "words", F.coalesce("other_id", "id").alias("other_id"))
     full = ids.join(whole.join(contents, "cid"), "cid")
     other = F.when(F.col("id").eqNullSafe(F.col("lo")), F.col("hi")).otherwise(F.col("lo"))
-    return partial.unionByName(full.select(F.col("id").alias("doc_id"), "start", "end", "words", F.col("words").alias("longest"), other.alias("other_id")))
+    return partial.unionByName(full.select(F.col("id").alias("doc_id"), "start", "end", "words", other.alias("other_id")))
