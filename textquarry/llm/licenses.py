@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache, reduce
 
@@ -12,43 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import map_arrow
+from textquarry.llm.license_texts import TEMPLATES
 
-#: Of each wording: license, text, words that must be there exactly.
-TEMPLATES: list[tuple[str, str, str]] = [
-    ("MIT", "Released under the MIT License.", "mit"),
-    ("MIT", "Licensed under the MIT License.", "mit"),
-    ("MIT", "This project is licensed under the terms of the MIT license.", "mit"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "permission granted"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2 0"),
-    ("Apache-2.0", "Released under the Apache License 2.0.", "apache 2 0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3", "gnu general public 3"),
-    ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3.", "gnu lesser public 3"),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3.", "gnu affero public 3"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2 0"),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License.", "bsd 3 clause"),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License.", "bsd 2 clause"),
-    ("ISC", "Licensed under the ISC License.", "isc"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
-    ("CC0-1.0", "Licensed under CC0 1.0 Universal.", "cc0 1 0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4 0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by sa 4 0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by nc 4 0"),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "cc by nd 4 0"),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", "cc by nc sa 4 0"),
-    ("proprietary", "All rights reserved.", "all rights reserved"),
-]
 #: A block is looked at if it holds one of these; every template does.
-CUES = ("licen", "copyright", "rights reserved", "public domain", "redistribut", "permission is hereby", "mozilla public")
+CUES = ("licen", "copyright", "rights reserved", "public domain", "redistribut", "permission is hereby", "permission to use", "permission is granted", "eclipse public", "mozilla public")
 #: How much of a template's wording may differ; of zstandard.
 DIFFERENT, LEVEL = 0.2, 9
-#: Lines longer than this are taken sentence by sentence too; blocks of more words in windows that overlap by the longest
-#: wording, so that every notice lies wholly in one.
-LONG_LINE, WINDOW = 400, 128
+#: Blocks of more words are taken in windows that overlap by the longest wording, so that every notice lies wholly in one.
+WINDOW = 1200
+#: A tag that names licenses by itself.
+_tag = re.compile(r"(?i)\bSPDX-License-Identifier:[ \t]*([A-Z0-9][\w.+-]*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(?[A-Z0-9][\w.+-]*\)?)*)")
+TAG = "SPDX-License-Identifier: "
 _cue = re.compile("|".join(r"[\W_]+".join(map(re.escape, c.split())) for c in CUES), re.IGNORECASE)
 _word = re.compile(r"[^\W_]+")
-_sentence = re.compile(r"[^.!?]*(?:[.!?](?!\s)[^.!?]*)*(?:[.!?]+|$)\s*")
 
 
 @dataclass
@@ -56,6 +34,7 @@ class Template:
     license: str
     text: str
     words: list[str]
+    counts: Counter[str]
     must: frozenset[str]
     compressor: zstandard.ZstdCompressor
 
@@ -68,7 +47,7 @@ def _compressor(raw: str | None = None) -> zstandard.ZstdCompressor:
 
 @cache
 def templates() -> tuple[zstandard.ZstdCompressor, list[Template]]:
-    made = [Template(name, text, _words(text), frozenset(must.split()), _compressor(text.lower() + "\n")) for name, text, must in TEMPLATES]
+    made = [Template(name, text, _words(text), Counter(_words(text)), frozenset(must.split()), _compressor(text.lower() + "\n")) for name, text, must in TEMPLATES]
     return _compressor(), made
 
 
@@ -76,26 +55,29 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _word.findall(text)]
 
 
+@cache
+def longest() -> int:
+    """Most words that a confirmed notice can have."""
+    return max(len(t.words) + int(DIFFERENT * len(t.words)) for t in templates()[1])
+
+
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """Spans with a cue: lines, sentences of long ones too; and all lines around one up to empty lines, if several."""
-    out: list[tuple[int, int]] = []
-    if not _cue.search(text):
-        return out
-    at, paragraph = 0, []
-    for line in [*text.split("\n"), ""]:
-        if _cue.search(line):
-            out.append((at, at + len(line)))
-            if len(line) > LONG_LINE:
-                out += [(at + m.start(), at + m.end()) for m in _sentence.finditer(line) if m.group() and _cue.search(m.group())]
-        if line.strip():
-            paragraph.append((at, at + len(line)))
-        else:
-            whole = (paragraph[0][0], paragraph[-1][1]) if paragraph else (0, 0)
-            if len(paragraph) > 1 and _cue.search(text, *whole):
-                out.append(whole)
-            paragraph = []
-        at += len(line) + 1
-    return list(dict.fromkeys(out))
+    """Spans of words about cues, far enough for the longest wording; where they meet they are one, cut in windows."""
+    cues = [m.start() for m in _cue.finditer(text)]
+    if not cues:
+        return []
+    marks = [m.span() for m in _word.finditer(text)]
+    starts, reach = [s for s, _ in marks], longest()
+    spans: list[list[int]] = []
+    for at in (min(bisect_right(starts, c), len(marks)) for c in cues):
+        lo, hi = max(at - 1 - reach, 0), min(at + reach, len(marks))
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = hi
+        elif lo < hi:
+            spans.append([lo, hi])
+    step = WINDOW - reach
+    parts = [(i, min(i + WINDOW, hi)) for lo, hi in spans for i in range(lo, max(hi - reach, lo + 1), step)]
+    return [(marks[i][0], marks[j - 1][1]) for i, j in parts]
 
 
 def rank(block: str) -> list[tuple[float, int]]:
@@ -126,6 +108,8 @@ def differences(block: list[str], t: Template) -> tuple[int, int, list[str]] | N
             ranges.append([lo, hi])
     best = None
     for lo, hi in ranges:
+        if sum((t.counts - Counter(block[lo:hi])).values()) > most:  # more of its words are missing than may differ
+            continue
         # of each number of template words read: how many words differ up to here, minus the begin, the differences
         column: list[tuple[int, int, tuple[str, ...]] | None] = []
         for j in range(lo, hi + 1):
@@ -150,45 +134,48 @@ def _confirmed(block: str, at: int) -> list[tuple[int, int, str, float, int, str
     fits = {i: fit for i, t in enumerate(made) if (fit := differences(lower, t))}
     if not fits:
         return []
-    other, less, i = min((len(fits[-i][2]), -reduction, -i) for reduction, i in rank(block) if -i in fits)
+    # the wording that explains most words; of equal ones the larger reduction, then the earlier template
+    _, less, i = min((2 * len(fits[-i][2]) - len(made[-i].words), -reduction, -i) for reduction, i in rank(block) if -i in fits)
+    other = len(fits[i][2])
     begin, end, words = fits[i]
     s, e = marks[begin].start(), marks[end - 1].end()
     found = (at + s, at + e, made[i].license, round(-less, 4), other, " ".join(words))
     return [*_confirmed(block[:s], at), found, *_confirmed(block[e:], at + e)]
 
 
-def _windows(text: str, s: int, e: int) -> list[tuple[int, int]]:
-    """The block, or windows of WINDOW words of it."""
-    marks = list(_word.finditer(text, s, e))
-    if len(marks) <= WINDOW:
-        return [(s, e)]
-    step = WINDOW - max(len(t.words) + int(DIFFERENT * len(t.words)) for t in templates()[1])
-    return [(marks[i].start(), marks[min(i + WINDOW, len(marks)) - 1].end()) for i in range(0, len(marks) - WINDOW + step, step)]
+def _tags(text: str) -> list[tuple[int, int, str, float, int, str]]:
+    """Tags that name a license, each confirmed by being just that."""
+    out = []
+    for m in _tag.finditer(text) if "spdx" in text.lower() else ():
+        raw = m.group().lower().encode()
+        out.append((m.start(), m.end(), m.group(1), round(1 - len(_compressor(TAG.lower() + m.group(1).lower() + "\n").compress(raw)) / len(templates()[0].compress(raw)), 4), 0, ""))
+    return out
 
 
 def scan(text: str) -> list[tuple[int, int, str, float, int, str]]:
     """Confirmed notices in order: start, end, license, reduction, number of differing words, those words."""
-    parts = dict.fromkeys(p for s, e in candidate_blocks(text) for p in _windows(text, s, e))
-    found = [x for s, e in parts for x in _confirmed(text[s:e], s)]
+    found = _tags(text) + [x for s, e in dict.fromkeys(candidate_blocks(text)) for x in _confirmed(text[s:e], s)]
     out: list[tuple[int, int, str, float, int, str]] = []
-    # a wording in several blocks counts once
-    for x in sorted(set(found), key=lambda x: (x[4], -(x[1] - x[0]), x[0], -x[3], x[2])):
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in out):
-            out.append(x)
-    return sorted(out)
+    # a wording in several windows counts once: of overlapping finds the one that explains most
+    for x in sorted(set(found), key=lambda x: (-(x[1] - x[0]), x[4], x[0], -x[3], x[2])):
+        at = bisect_right(out, (x[0], 1 << 62))
+        if (at == 0 or out[at - 1][1] <= x[0]) and (at == len(out) or out[at][0] >= x[1]):
+            out.insert(at, x)
+    return out
 
 
 def notices(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each confirmed notice: doc_id, start, end (characters), license, reduction, differing, differences.
 
-    The wording of each template is aligned with blocks that have a cue. One is confirmed if no more than DIFFERENT of
-    its words differ and none that it must have; the one with fewest differences wins (ties: the larger reduction of the
-    block's size when compressed with the template as raw dictionary, then the earlier template). What is left before
-    and after it is scanned likewise until nothing is confirmed. Null and empty texts have none; repeated rows give
+    The wording of each template is aligned with blocks about cues. One is confirmed if no more than DIFFERENT of its
+    words differ and none that it must have; the one with most words, less two for each that differs, wins (ties: the
+    larger reduction of the block's size when compressed with the template as raw dictionary, then the earlier
+    template). What is left before and after it is scanned likewise until nothing is confirmed. Tags of identifiers
+    count as they are. Null and empty texts have none; repeated rows give
     repeated finds. Whole texts are searched, whatever the length of lines and paragraphs. Other columns aren't read. An
     empty table gives no rows. No shuffle; texts without a word of any cue don't leave the JVM.
     """
-    some = reduce(lambda a, b: a | b, [F.lower("text").contains(max(c.split(), key=len)) for c in CUES])
+    some = reduce(lambda a, b: a | b, [F.lower("text").contains(max(c.split(), key=len)) for c in (*CUES, "spdx")])
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(some)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
