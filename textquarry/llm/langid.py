@@ -18,8 +18,9 @@ from textquarry.llm.textvec import blocks, code_points, fold_table
 
 #: Sizes of n-grams, hashed to 2**BITS features; SCALE brings relative frequencies to the order of one.
 ORDERS, BITS, SCALE = (2, 3), 16, 64.0
-#: Bounds of the training sample, in labelled rows a language and in languages (the most frequent); epochs over it.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, EPOCHS = 1500, 200, 3
+#: Bounds of the training sample, in labelled texts a language and in all (of very many languages each gets fewer, but all
+#: are learnt); epochs over it.
+SAMPLE_PER_LANGUAGE, SAMPLE, EPOCHS = 1500, 60_000, 3
 #: Follow-the-regularised-leader: learning rate, smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.01
 #: A document is accepted if its most likely language has at least this calibrated probability.
@@ -210,30 +211,29 @@ def fit_temperature(scores: np.ndarray, truth: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def sample(docs: DataFrame, *, key: str, text: str, label: str, per_language: int, languages: int) -> tuple[list, list]:
-    """At most per_language labelled texts of each of the most frequent languages, by a hash of key and text."""
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(text).alias("text"))
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()
-    if not counts:
-        return [], []
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, 1.2 * per_language / r["count"]))]), F.col("label"))
-    order = F.pmod(F.xxhash64("label", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.where(order < share).select("label", "text", order.alias("o"), content_id("text").alias("c")).toArrow().to_pylist()
-    drawn.sort(key=lambda r: (r["o"], r["label"], r["c"]))
-    taken: dict[str, int] = {}
-    out = []
-    for r in drawn:
-        taken[r["label"]] = taken.get(r["label"], 0) + 1
-        if taken[r["label"]] <= per_language:
-            out.append(r)
-    return [r["text"] for r in out], [r["label"] for r in out]
-
+def sample(docs: DataFrame, *, text: str, label: str, per_language: int, most: int = SAMPLE) -> tuple[list, list]:
+    """At most per_language different labelled texts of each language, and about `most` of all.
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, languages: int = MAX_LANGUAGES) -> Model:
+    The hashes of label and text fall into per_language slots a language; of each slot the least one is taken. So the
+    number is bounded whatever repeats, keys play no part, and every language with a text has one. Slots are found by
+    partial aggregates of hashes; only the texts chosen come to the driver.
+    """
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
+    rows = rows.withColumn("draw", F.xxhash64("label", content_id("text")))
+    languages = rows.select("label").distinct().count()
+    slots = max(1, min(per_language, most // max(1, languages)))
+    chosen = rows.groupBy("label", F.pmod("draw", F.lit(slots)).alias("slot")).agg(F.min("draw").alias("least")).select(F.col("label").alias("of"), "least")
+    held = rows.join(F.broadcast(chosen), (F.col("label") == F.col("of")) & (F.col("draw") == F.col("least")))
+    drawn = held.groupBy("label", "draw").agg(F.min("text").alias("text")).toArrow().to_pylist()
+    drawn.sort(key=lambda r: (r["draw"], r["label"]))
+    return [r["text"] for r in drawn], [r["label"] for r in drawn]
+
+
+def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Document frequencies come from all texts; the weights from a bounded sample of labelled rows, in the driver."""
     df, n = count_documents(docs, text)
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0.0)
-    texts, labels = sample(docs, key=key, text=text, label=label, per_language=per_language, languages=languages)
+    texts, labels = sample(docs, text=text, label=label, per_language=per_language)
     return train(texts, labels, idf)
 
 
@@ -257,18 +257,20 @@ def classify(docs: DataFrame, model: Model, *, text: str = "text", names: tuple[
 def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", min_prob: float = MIN_PROB) -> DataFrame:
     """Every row: doc_id, lang_pred, prob, accepted.
 
-    The model is trained on the label column of these rows; null labels and texts are left out of training. A null
+    The model is trained on the label column of these rows, on at most SAMPLE_PER_LANGUAGE texts of each label and about
+    SAMPLE in all; null labels and texts are left out of training, keys play no part. Every label is learnt; the model has
+    FEATURES numbers a label. A null
     text, or one without letters, has no language and probability 0, and isn't accepted. Repeated rows get equal
     results; ties between languages go to the first by name. Without any label no text has a language. Whole texts
     count. Other columns aren't read. An empty table stays empty.
     """
-    model = fit(docs, key=key, text=text, label=label)
+    model = fit(docs, text=text, label=label)
     done = classify(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), model)
     return done.select("doc_id", "lang_pred", "prob", (F.col("prob") >= min_prob).alias("accepted"))
 
 
-def keep_identified(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", min_prob: float = MIN_PROB) -> DataFrame:
+def keep_identified(docs: DataFrame, *, text: str = "text", label: str = "lang", min_prob: float = MIN_PROB) -> DataFrame:
     """The rows whose language can be told (accepted, as in identify), with their columns as they are."""
-    model = fit(docs, key=key, text=text, label=label)
+    model = fit(docs, text=text, label=label)
     names = tuple(fresh(docs.columns, "lang_pred", "lang_prob"))
     return classify(docs, model, text=text, names=names).where(F.col(names[1]) >= min_prob).select(*[F.col(f"`{c}`") for c in docs.columns])
