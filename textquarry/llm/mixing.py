@@ -23,9 +23,9 @@ def plan(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, *, default_wei
     the excess goes to the others in proportion to their weights, again and again until no share exceeds its cap. That
     fixed point is found at once: with sources ordered by cap / weight, those are clamped at whose level the filled
     amount is still within the budget. If all caps together are less than the budget, all are clamped.
-    A null source is a source of its own; a source without characters has 1 epoch; weight 0 or less gives 0 epochs.
+    Sources of other types than strings go by their string. A null source is a source of its own; a source without characters has 1 epoch; weight 0 or less gives 0 epochs.
     """
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("size"))
+    sizes = docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("size"))
     weight = F.lit(float(default_weight))
     if weights:
         table = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))])
@@ -50,8 +50,10 @@ def plan(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, *, default_wei
 def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, *, default_weight: float = DEFAULT_WEIGHT, max_epochs: float = MAX_EPOCHS, budget: float = BUDGET, seed: int = SEED, text: str = "text", source: str = "source", key: str = "doc_id", copy: str | None = None) -> DataFrame:
     """Every document floor(epochs) times, and once more if a seeded hash of its key is below the fraction.
 
-    The columns stay; `copy` names one more for the number of the repetition. Equal keys, and all null keys, get the
-    same draw; repeated rows are each repeated. An empty table stays empty. Only the plan, a row a source, is moved.
+    The columns stay as they are; `copy` names one more for the number of the repetition (a column of that name is
+    replaced; others may have any names). Equal keys, and all null keys, get the same draw; repeated rows are each
+    repeated. Null and empty texts count no characters, long ones all of theirs; a source of such texts alone has 1
+    epoch. An empty table stays empty. Only the plan, a row a source, is moved.
     """
     spark = docs.sparkSession
     made = plan(docs, weights, default_weight=default_weight, max_epochs=max_epochs, budget=budget, text=text, source=source)
@@ -62,7 +64,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, *, default_weig
     made = made.select(F.col("source").alias(src), F.col("epochs").alias(epochs))
     draw = unit(F.lit(str(seed)), key_string(key))
     copies = F.floor(epochs) + F.when(draw < F.col(epochs) - F.floor(epochs), 1).otherwise(0)
-    joined = docs.join(made, docs[source].eqNullSafe(made[src]), "inner").withColumn(number, copies.cast("int"))
+    joined = docs.join(made, docs[source].cast("string").eqNullSafe(made[src]), "inner").withColumn(number, copies.cast("int"))
     columns = [F.col(f"`{c}`") for c in docs.columns if copy is None or c.lower() != copy.lower()]
     repeated = joined.where(F.col(number) > 0).withColumn(number, F.explode(F.sequence(F.lit(0), F.col(number) - 1)))
     return repeated.select(*columns, *([F.col(number).alias(copy)] if copy else []))
