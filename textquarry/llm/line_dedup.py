@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import Tables, content_id, fresh, small
+from textquarry.llm.common import Tables, small
 
 #: A chunk ends after a line where the rolling hash of it and the two before it is a multiple of EVERY.
 EVERY, B1, B2 = 4, 31, 961
@@ -44,16 +44,17 @@ def chunks(text: str | Column, every: int = EVERY) -> Column:
 def dedupe(docs: DataFrame, *, key: str = "doc_id", text: str = "text", every: int = EVERY) -> DataFrame:
     """All rows: doc_id, text without chunks of two or more lines that occur earlier, removed_chunks, removed_lines.
 
-    "Earlier" is by doc_id (null last), then by the text's hash, then by place. Chunks of one line, or without any
+    "Earlier" is by doc_id (null last), then by the text's MD5, then by place. Chunks of one line, or without any
     visible character, stay. Hash counts route chunks; their bytes decide. Rows with equal doc_id and text are one
-    document here and are treated alike. A null text stays null. An empty table stays empty.
+    document here and are treated alike. A null text stays null, an empty one empty; of very long ones every line
+    counts. Columns other than key and text aren't read and don't come along. An empty table stays empty.
 
     Moved: a hash a chunk with partial counts; of repeated chunks the bytes once a task; and for the rewrite either
     nothing (the list of removals is small enough to broadcast, as counted) or the texts once.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "lines")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), content_id(text).alias("cid"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.md5(F.col(text)).alias("cid"))
     found = rows.select("doc_id", "cid", F.explode(chunks("text", every)).alias("c")).where((F.col("c.lines") >= 2) & (F.length(F.trim(F.translate("c.text", "\n\t\r", ""))) > 0))
     found = found.select("doc_id", "cid", F.col("c.no").alias("no"), F.col("c.lines").alias("lines"), F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("h"))
     repeated = tables.write(found.groupBy("h").count().where("count > 1").select("h"))
@@ -62,14 +63,14 @@ def dedupe(docs: DataFrame, *, key: str = "doc_id", text: str = "text", every: i
     # the least and the greatest of a hash's chunks are the same bytes unless hashes collide; partial results keep a
     # chunk that stands in very many documents from gathering in one task
     heads = tables.write(again.groupBy("h").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"), F.min(place).alias("head")).select("h", "head", (F.col("least") != F.col("most")).alias("mixed")))
-    placed = again.withColumn("place", place).join(small(heads, 80), "h")
+    placed = again.withColumn("place", place).join(small(heads, 100), "h")
     order = Window.partitionBy("h", "chunk").orderBy("place")
     plain = placed.where("NOT mixed AND place != head").select("doc_id", "cid", "no", "lines")
     mixed = placed.where("mixed").withColumn("rank", F.dense_rank().over(order)).where("rank > 1").select("doc_id", "cid", "no", "lines")
     later = plain.unionByName(mixed)
     gone = tables.write(later.groupBy(F.col("doc_id").alias("d"), F.col("cid").alias("c")).agg(F.sort_array(F.collect_set("no")).alias("nos"), F.sum("lines").alias("total"), F.count(F.lit(1)).alias("n"), F.countDistinct("no").alias("k")))
     gone = gone.select("d", "c", "nos", (F.col("total") * F.col("k") / F.col("n")).cast("int").alias("removed_lines"))
-    joined = rows.join(small(gone, 64), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("cid") == F.col("c")), "left")
+    joined = rows.join(small(gone, 88), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("cid") == F.col("c")), "left")
     left = F.filter(chunks("text", every), lambda c: ~F.array_contains(F.col("nos"), c["no"]))
     cleaned = F.when(F.col("nos").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["text"]), "\n"))
     count = F.coalesce(F.size("nos"), F.lit(0))
