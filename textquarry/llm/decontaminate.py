@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from textquarry.llm.common import fresh, map_arrow
+from textquarry.llm.common import Tables, fresh, map_arrow, maybe_in
 from textquarry.llm.textvec import U64, blocks, mix, windows, words
 
 #: A match is removed if it has LENGTH tokens, or SHARE of its item's tokens and at least FLOOR of them. A document of
@@ -19,6 +21,9 @@ from textquarry.llm.textvec import U64, blocks, mix, windows, words
 LENGTH, SHARE, FLOOR, DOC_SHARE = 13, 0.6, 6, 0.8
 #: Tokens of test items in one automaton (some 500 bytes each in a worker); more items make more automata and passes.
 AUTOMATON_TOKENS = 200_000
+#: About how many characters of test items one pass over the documents looks for (their automata take 100 MB a million);
+#: more items make more passes.
+PASS_CHARS = 6_000_000
 FILTER_BITS = 20
 
 
@@ -146,15 +151,19 @@ class Span:
     share: float  # of the item, by the match
 
 
-def find(automata: list[Automaton], texts: list[str], limits: tuple[int, float, int]) -> list[tuple[list[Span], int]]:
-    """Of each text the spans to remove, disjoint and in order, and its number of tokens.
+#: A match: first token, end, item, share of the item, and where it begins and ends in characters.
+Hit = tuple[int, int, int, float, int, int]
+
+
+def hits(automata: list[Automaton], texts: list[str], limits: tuple[int, float, int]) -> list[tuple[list[Hit], int]]:
+    """Of each text all maximal matches beyond the limits, and its number of tokens.
 
     The automaton only walks where consecutive token pairs all occur in items: elsewhere no match can be long enough.
     """
-    out: list[tuple[list[Span], int]] = []
+    out: list[tuple[list[Hit], int]] = []
     for a, b in blocks(texts):
         w = words(texts[a:b])
-        found: list[list[tuple[int, int, int, float]]] = [[] for _ in range(b - a)]
+        found: list[list[Hit]] = [[] for _ in range(b - a)]
         pair = (windows(w.hash, 2) >> U64(64 - FILTER_BITS)).astype(np.int64)
         for automaton in automata:
             if automaton.least >= 1 << 30:
@@ -166,70 +175,133 @@ def find(automata: list[Automaton], texts: list[str], limits: tuple[int, float,
                 begin, end = w.first[:-1], w.first[1:]
             long = end - begin >= automaton.least
             for s, e in zip(begin[long].tolist(), end[long].tolist()):
+                d = int(w.doc[s])
+                base = int(w.first[d])
                 for x, y, item, share in automaton.matches(w.hash[s:e].tolist(), limits):
-                    found[int(w.doc[s])].append((s + x, s + y, item, share))
-        for d, hits in enumerate(found):
-            spans: list[Span] = []
-            last = -1
-            for s, e, item, share in sorted(hits):
-                if spans and s < last:
-                    old = spans[-1]
-                    if e > last:
-                        old.end, old.tokens, last = int(w.end[e - 1]), old.tokens + e - last, e
-                    if (share, -item) > (old.share, -old.item):
-                        old.item, old.share = item, share
-                else:
-                    spans.append(Span(int(w.start[s]), int(w.end[e - 1]), e - s, item, share))
-                    last = e
-            out.append((spans, int(w.first[d + 1] - w.first[d])))
+                    found[d].append((s + x - base, s + y - base, item, share, int(w.start[s + x]), int(w.end[s + y - 1])))
+        out += [(h, int(w.first[d + 1] - w.first[d])) for d, h in enumerate(found)]
     return out
 
 
-def _automata(docs: DataFrame, benchmark: DataFrame, item: str, text: str, limits: tuple[int, float, int]):
-    rows = [(r[0], r[1]) for r in benchmark.select(F.col(item).cast("long"), F.col(text)).collect()]
-    return docs.sparkSession.sparkContext.broadcast(build(rows, limits))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = LENGTH, share: float = SHARE, floor: int = FLOOR) -> DataFrame:
+def merge(found: list[Hit]) -> list[Span]:
+    """The spans to remove, disjoint and in order: overlapping matches are one."""
+    spans: list[Span] = []
+    last = -1
+    for s, e, item, share, begin, end in sorted(found):
+        if spans and s < last:
+            old = spans[-1]
+            if e > last:
+                old.end, old.tokens, last = end, old.tokens + e - last, e
+            if (share, -item) > (old.share, -old.item):
+                old.item, old.share = item, share
+        else:
+            spans.append(Span(begin, end, e - s, item, share))
+            last = e
+    return spans
+
+
+class _Search:
+    """Finds the spans of rows: in one pass, or in several over a written copy of the rows, whose matches meet by row."""
+
+    def __init__(self, benchmark: DataFrame, item: str, text: str, limits: tuple[int, float, int], pass_chars: int):
+        self.limits, self.kind = limits, benchmark.schema[item].dataType.simpleString()
+        self.items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"))
+        chars = self.items.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.passes = max(1, -(-chars // pass_chars))
+        whole = self.kind in ("bigint", "int", "smallint", "tinyint")
+        #: ids that aren't numbers are counted in order
+        self.names = None if whole else [r[0] for r in self.items.select("item").where("item IS NOT NULL").distinct().orderBy("item").collect()]
+
+    def _automata(self, no: int):
+        rows = self.items.where(F.pmod(F.xxhash64("text"), F.lit(self.passes)) == no).collect()
+        place = {x: i for i, x in enumerate(self.names)} if self.names is not None else None
+        built = build([(r[0] if place is None or r[0] is None else place[r[0]], r[1]) for r in rows], self.limits)
+        return self.items.sparkSession.sparkContext.broadcast(built)
+
+    @property
+    def schema(self) -> str:
+        return "bigint" if self.names is None else self.kind
+
+    def rows(self, rows: DataFrame, copy: str) -> tuple[list[DataFrame], Callable[[pa.RecordBatch], list[tuple[list[Hit], int]]]]:
+        """Parts of the rows with a last column `copy`, and what gives the matches of a batch of them."""
+        limits = self.limits
+        if self.passes == 1:
+            shared = self._automata(0)
+            return [rows], lambda batch: hits(shared.value, [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], limits)
+        tables = Tables(rows.sparkSession, "leaks")
+        number, found = fresh([*rows.columns, copy], "row_no", "row_hits")
+        kept = tables.write(rows.withColumn(number, F.monotonically_increasing_id()))
+        parts = []
+        for no in range(self.passes):
+            shared = self._automata(no)
+
+            def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+                flat = [(i, n, h) for i, (hs, n) in zip(batch.column(0).to_pylist(), hits(shared.value, [t or "" for t in batch.column(1).to_pylist()], limits)) for h in hs]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+                columns = [pa.array([h[k] for _, _, h in flat], t) for k, t in enumerate(kinds)]
+                return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in flat], pa.int64()), pa.array([n for _, n, _ in flat], pa.int32()), *columns], ["r", "n", *"abcdef"])
+
+            parts.append(tables.write(map_arrow(kept.select(F.col(number).alias("r"), F.col(copy).alias("t")), run, "r long, n int, a int, b int, c long, d double, e int, f int", text="t")))
+        all_ = reduce(DataFrame.unionByName, parts)
+        met = tables.write(all_.groupBy("r").agg(F.max("n").alias("n"), F.collect_list(F.struct(*"abcdef")).alias("h")))
+        flag = F.coalesce(maybe_in(met.select("r"), F.col(number)), F.lit(False))
+        columns = [F.col(f"`{c}`") for c in rows.columns]
+        none = F.lit(None).cast("struct<n:int,h:array<struct<a:int,b:int,c:bigint,d:double,e:int,f:int>>>").alias(found)
+        joined = kept.where(flag).join(met.select(F.col("r").alias(found + "_r"), F.struct("n", "h").alias(found)), F.col(number) == F.col(found + "_r"), "left")
+        shape = lambda df, hit: df.select(*columns[:-1], hit, columns[-1])
+
+        def read(batch: pa.RecordBatch) -> list[tuple[list[Hit], int]]:
+            return [([tuple(h.values()) for h in x["h"]], x["n"]) if x else ([], 1) for x in batch.column(batch.num_columns - 2).to_pylist()]
+
+        return [shape(kept.where(~flag), none), shape(joined, F.col(f"`{found}`"))], read
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = LENGTH, share: float = SHARE, floor: int = FLOOR, pass_chars: int = PASS_CHARS) -> DataFrame:
     """A row for each span to remove: doc_id, start, end (characters), tokens, item_id, item_share, doc_share.
 
     Tokens are runs of letters, marks and digits, folded in case and compatibility form. Matches of `length` tokens, or
     of `share` of an item (and `floor` tokens), count; overlapping ones are one span, named after the item of which one
-    match covers most (ties: the least item_id; an item without id is -1). Null and empty texts and items have no
-    spans. Repeated rows give repeated spans. Other columns aren't read. An empty table of either kind gives no rows.
-    No shuffle: the automata are broadcast, each of a bounded size; they grow with the test items only.
+    match covers most (ties: the least item_id; an item without id is -1, or null where ids aren't numbers). Null and
+    empty texts and items have no spans, nor have items of fewer than `floor` tokens. Repeated rows give repeated spans;
+    long texts are gone through whole. Other columns aren't read. An empty table of either kind gives no rows.
+    No shuffle: the automata are broadcast. Items of more than about `pass_chars` characters are looked for in several
+    passes, so that what is broadcast is bounded; their matches meet by row, with the texts of rows that have one.
     """
-    limits = (length, share, floor)
-    shared = _automata(docs, benchmark, item, item_text, limits)
+    search = _Search(benchmark, item, item_text, (length, share, floor), pass_chars)
+    parts, read = search.rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = find(shared.value, [t or "" for t in batch.column(1).to_pylist()], limits)
-        rows = [(i, s, sum(x.tokens for x in spans) / max(1, n)) for i, (spans, n) in enumerate(found) for s in spans]
+        rows = [(i, s, sum(x.tokens for x in spans) / max(1, n)) for i, (h, n) in enumerate(read(batch)) for spans in [merge(h)] for s in spans]
         at = pa.array([i for i, _, _ in rows], pa.int64())
-        columns = [batch.column(0).take(at), *(pa.array([getattr(s, f) for _, s, _ in rows], t) for f, t in (("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.int32()), ("item", pa.int64()), ("share", pa.float64()))), pa.array([x for _, _, x in rows], pa.float64())]
+        columns = [batch.column(0).take(at), *(pa.array([getattr(s, f) for _, s, _ in rows], pa.int32()) for f in ("start", "end", "tokens")), search_named([s.item for _, s, _ in rows]), pa.array([s.share for _, s, _ in rows], pa.float64()), pa.array([x for _, _, x in rows], pa.float64())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "tokens", "item_id", "item_share", "doc_share"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_arrow(rows, run, f"doc_id {kind}, start int, end int, tokens int, item_id long, item_share double, doc_share double")
+    names, item_kind = search.names, pa.int64() if search.names is None else to_arrow_type(benchmark.schema[item].dataType)
+    search_named = lambda items: pa.array(items if names is None else [None if i < 0 else names[i] for i in items], item_kind)
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"doc_id {kind}, start int, end int, tokens int, item_id {search.schema}, item_share double, doc_share double"
+    return reduce(DataFrame.unionByName, [map_arrow(p, run, schema) for p in parts])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", size: str = "n_chars", length: int = LENGTH, share: float = SHARE, floor: int = FLOOR, doc_share: float = DOC_SHARE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", size: str = "n_chars", length: int = LENGTH, share: float = SHARE, floor: int = FLOOR, doc_share: float = DOC_SHARE, pass_chars: int = PASS_CHARS) -> DataFrame:
     """The rows and columns of docs with the spans of contaminated() cut out of the text.
 
     A row of whose tokens more than doc_share are cut goes. If there is an integer column `size`, it is set to the new
-    number of characters where a text changed. Rows without spans stay as they are, null and empty texts too.
+    number of characters where a text changed. Rows without spans stay as they are, null and empty texts too; repeated
+    rows are each treated alike, long texts whole. Columns may have any names. An empty table stays empty, without items
+    every table stays as it is.
     """
-    limits = (length, share, floor)
-    shared = _automata(docs, benchmark, item, item_text, limits)
     (copy,) = fresh(docs.columns, "text_copy")
     names = docs.columns
     at = names.index(text)
     sized = names.index(size) if size in names and docs.schema[size].dataType.simpleString() in ("int", "bigint") else None
+    search = _Search(benchmark, item, item_text, (length, share, floor), pass_chars)
+    parts, read = search.rows(docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(copy)), copy)
+    width = len(names)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = batch.column(batch.num_columns - 1).to_pylist()
-        found = find(shared.value, [t or "" for t in texts], limits)
+        found = [(merge(h), n) for h, n in read(batch)]
         keep, changed = [], {}
         for i, (spans, n) in enumerate(found):
             if spans and sum(s.tokens for s in spans) > doc_share * n:
@@ -238,7 +310,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
             if spans:
                 cuts = [0, *(x for s in spans for x in (s.start, s.end)), len(texts[i])]
                 changed[i] = "".join(texts[i][p:q] for p, q in zip(cuts[::2], cuts[1::2]))
-        columns = list(batch.columns[:-1])
+        columns = list(batch.columns[:width])
         if changed:
             columns[at] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], columns[at].type)
             if sized is not None:
@@ -246,5 +318,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
         out = pa.RecordBatch.from_arrays(columns, names)
         return out if len(keep) == len(texts) else out.take(pa.array(keep, pa.int64()))
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(copy))
-    return map_arrow(rows, run, docs.schema, text=copy)
+    return reduce(DataFrame.unionByName, [map_arrow(p, run, docs.schema, text=copy) for p in parts])
