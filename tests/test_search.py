@@ -32,7 +32,7 @@ def index(files):
 
 
 def test_bm25_by_hand(spark, index):
-    got = {r.doc: r.score for r in I.bm25(index, I.query_frame(spark, {"q": "token"}), paths=False).collect()}
+    got = {r.doc: r.score for r in I.asked(index, {"q": "token"}, paths=False).collect()}
     size = {r.doc: r.doc_len for r in index.docs.collect()}
     mean = sum(size.values()) / 4
     idf = math.log(1 + (4 - 2 + 0.5) / (2 + 0.5))
@@ -41,7 +41,7 @@ def test_bm25_by_hand(spark, index):
 
 
 def test_bm25_of_nothing(spark, index):
-    assert I.bm25(index, I.query_frame(spark, {"q": ""})).collect() == [] and I.bm25(index, I.query_frame(spark, {"q": "zzz"})).collect() == []
+    assert I.asked(index, {"q": ""}).collect() == [] and I.asked(index, {"q": "zzz"}).collect() == []
 
 
 def test_search_ranks_and_filters(files, index):

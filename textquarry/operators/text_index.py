@@ -22,10 +22,12 @@ class TextIndex:
     path_postings: DataFrame
 
     def write(self, folder: str) -> None:
-        """Parquet; postings are sorted by term within files, so a query's terms skip most row groups."""
-        self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+        """Parquet; postings are sorted by term within files, so a query's terms skip most row groups. Document lengths are
+        added up from the postings written, so that texts are read and tokenised once."""
         for name in ("postings", "path_postings"):
-            getattr(self, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/{name}")
+            getattr(self, name).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/{name}")
+        stored = [self.docs.sparkSession.read.parquet(f"{folder}/{n}") for n in ("postings", "path_postings")]
+        measured(self.docs.select("doc", "path", "language"), *stored).write.mode("overwrite").parquet(f"{folder}/docs")
 
 
 def read(spark, folder: str) -> TextIndex:
@@ -33,23 +35,39 @@ def read(spark, folder: str) -> TextIndex:
 
 
 def term_counts(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, doc, tf): tokens are counted inside each row, so nothing is shuffled."""
-    found = rows.select(F.col(key).alias("doc"), F.explode(T.tokens(text)).alias("term"))
-    return found.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc", "tf")
+    """(term, doc, tf): each document's words are counted, then each different one is tokenised once.
+
+    Rows are brought together by document before words are made of them; counting words and terms then needs no further
+    shuffle, and no more than the texts themselves travels.
+    """
+    held = rows.select(F.col(key).alias("doc"), text.alias("text")).repartition("doc")
+    words = held.select("doc", F.explode(T.raw_words("text")).alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
+    found = words.select("doc", "n", F.explode(T.word_tokens("word")).alias("term"))
+    return found.groupBy("doc", "term").agg(F.sum("n").alias("tf")).select("term", "doc", "tf")
+
+
+def vocabulary_counts(rows: DataFrame, text: Column) -> DataFrame:
+    """(term, n) over all rows: words are counted before they are tokenised, partial counts are shuffled."""
+    words = rows.select(F.explode(T.raw_words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("n", F.explode(T.word_tokens("word")).alias("term")).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def measured(docs: DataFrame, postings: DataFrame, path_postings: DataFrame) -> DataFrame:
+    """docs with doc_len and path_len."""
+    size = lambda p, out: p.groupBy("doc").agg(F.sum("tf").alias(out))
+    return docs.join(size(postings, "doc_len"), "doc", "left").join(size(path_postings, "path_len"), "doc", "left").na.fill(0, ["doc_len", "path_len"])
 
 
 def build(files: DataFrame, *, key: str = "doc", path: str = "path", text: str = "text", language: str = "language", whole: bool = False) -> TextIndex:
     """Index of files. Texts over 2 MiB or with a NUL character, and null ones, are left out, unless the whole table is
-    asked for; the base name counts four times more."""
+    asked for; the base name counts four times more. Nothing is computed yet: write it, and read what was written."""
     ok = files if whole else files.where((F.octet_length(text) <= MAX_BYTES) & ~F.col(text).contains("\x00"))
     postings = term_counts(ok, key, F.col(text))
     name = F.substring_index(F.col(path), "/", -1)
     weighed = F.concat_ws(" ", F.col(path), *[name] * BASENAME_COPIES)
     path_postings = term_counts(ok, key, weighed)
-    size = lambda p, out: p.groupBy("doc").agg(F.sum("tf").alias(out))
     docs = ok.select(F.col(key).alias("doc"), F.col(path).alias("path"), F.col(language).alias("language"))
-    docs = docs.join(size(postings, "doc_len"), "doc", "left").join(size(path_postings, "path_len"), "doc", "left").na.fill(0, ["doc_len", "path_len"])
-    return TextIndex(docs, postings, path_postings)
+    return TextIndex(measured(docs, postings, path_postings), postings, path_postings)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -60,32 +78,39 @@ def tf_norm(tf: Column, size: Column, mean: Column) -> Column:
     return tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * (F.greatest(size, F.lit(1)) / mean)))
 
 
-def _scores(postings: DataFrame, docs: DataFrame, length: str, queries: DataFrame, few: bool) -> DataFrame:
+def _scores(postings: DataFrame, docs: DataFrame, length: str, queries: DataFrame, terms: Sequence[str] | None) -> DataFrame:
     """(query, doc, pos, term, score) of one field. Only postings of query terms are read on; df is counted on those."""
+    few = terms is not None
     hint = F.broadcast if few else lambda x: x
-    wanted = queries.select("term").distinct()
-    hits = postings.join(hint(wanted), "term")
+    hits = postings.where(F.col("term").isin(*terms)) if few else postings.join(queries.select("term").distinct(), "term")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), (F.greatest(F.sum(length), F.lit(1)) / F.count(F.lit(1))).alias("mean"))
-    weighed = hits.join(hint(df), "term").crossJoin(F.broadcast(stats)).join(docs.select("doc", length), "doc")
+    weighed = hits.join(hint(df), "term").join(docs.select("doc", length), "doc").crossJoin(F.broadcast(stats))  # one row
     scored = weighed.select("doc", "term", (idf(F.col("n"), F.col("df")) * tf_norm(F.col("tf"), F.col(length), F.col("mean"))).alias("score"))
     return scored.join(hint(queries), "term")
 
 
-def bm25(index: TextIndex, queries: DataFrame, *, paths: bool = True, few: bool = True) -> DataFrame:
+def bm25(index: TextIndex, queries: DataFrame, *, paths: bool = True, terms: Sequence[str] | None = None) -> DataFrame:
     """(query, doc, score, matched): content plus half the path score; document counts are of the whole index.
 
-    queries: (query, pos, term). few: they come from the driver, so that a broadcast is small; a table of queries is
-    joined as its size asks for. matched holds a term once for the content and once for the path, by position.
+    queries: (query, pos, term). terms: all their terms, if they come from the driver: then only the postings of those are
+    read, and the queries are small enough to broadcast; a table of queries is joined as its size asks for. matched holds
+    a term once for the content and once for the path, by position.
     """
-    content = _scores(index.postings, index.docs, "doc_len", queries, few).select("query", "doc", "pos", "term", F.lit(0).alias("part"), "score")
+    content = _scores(index.postings, index.docs, "doc_len", queries, terms).select("query", "doc", "pos", "term", F.lit(0).alias("part"), "score")
     if paths:
-        extra = _scores(index.path_postings, index.docs, "path_len", queries, few).select("query", "doc", "pos", "term", F.lit(1).alias("part"), (F.col("score") * F.lit(PATH_WEIGHT)).alias("score"))
+        extra = _scores(index.path_postings, index.docs, "path_len", queries, terms).select("query", "doc", "pos", "term", F.lit(1).alias("part"), (F.col("score") * F.lit(PATH_WEIGHT)).alias("score"))
         content = content.unionByName(extra)
     summed = content.groupBy("query", "doc").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("pos", "part", "term"))).alias("m"))
     return summed.select("query", "doc", "score", F.transform("m", lambda x: x["term"]).alias("matched"))
 
 
+def asked(index: TextIndex, queries: dict[str, str], *, paths: bool = True) -> DataFrame:
+    """bm25 of query strings."""
+    spark = index.docs.sparkSession
+    return bm25(index, query_frame(spark, queries), paths=paths, terms=list(dict.fromkeys(t for q in queries.values() for t in T.query_tokens(q))))
+
+
 def query_frame(spark, queries: dict[str, str] | Sequence[tuple[str, str]]) -> DataFrame:
     """(query, pos, term) of query strings, tokenised in the driver."""
     rows = [(name, i, t) for name, text in dict(queries).items() for i, t in enumerate(T.query_tokens(text))]

@@ -94,7 +94,7 @@ def search(files: DataFrame, index: I.TextIndex, text: str, *, limit: int = 10,
         raise ValueError("the query has no words to look for")
     wanted = intent(text, intent_level) if intent_mode else Intent([], [], 2)
     terms = list(dict.fromkeys(t for w in (*wanted.exact, *wanted.expanded) for t in T.query_tokens(w))) if intent_mode else T.query_tokens(parsed.raw)
-    scored = I.bm25(index, I.query_frame(files.sparkSession, {"q": " ".join([parsed.raw.strip(), *wanted.expanded])}))
+    scored = I.asked(index, {"q": " ".join([parsed.raw.strip(), *wanted.expanded])})
     docs = index.docs.where(Q.filter_condition(parsed.filter, F.col("path"), F.col("language"))).select("doc", "path", "language")
     best = scored.where("score > 0").join(docs, "doc").orderBy(F.desc("score"), "path", "doc").limit(max(4 * limit, limit + 2))
     boost = category_boost(F.col("path"), terms) * tooling_penalty(F.col("path"), terms) * path_boost(F.col("path"), terms) * intent_boost(F.col("matched"), wanted)
@@ -121,16 +121,17 @@ def grep(files: DataFrame, literal: str, *, before: int = 0, after: int = 0, lim
     """Literal, case-sensitive matches, the first of each line: key, line_number, column_start, column_end (from 1),
     line, context_before, context_after; ordered by file, line and column.
 
-    Context is cut from the array of the file's own lines, so nothing is shuffled but the final sort, and files without
-    the literal are left out before they are split.
+    Hits and their context are cut from the array of the file's own lines inside the row, so only they are spread, and
+    nothing is shuffled but the final sort; files without the literal are left out before they are split.
     """
-    body = F.split(F.regexp_replace(F.col(text), "\n$", ""), "\n")
-    hit = files.where(F.col(text).contains(literal)).select(F.col(key), F.transform(body, lambda x: F.regexp_replace(x, "\r$", "")).alias("ls"))
-    found = hit.select(key, "ls", F.posexplode("ls").alias("i", "line")).where(F.col("line").contains(literal))
-    n = F.col("i")
-    start = F.instr("line", literal)
-    lead = F.slice("ls", F.greatest(n + 1 - before, F.lit(1)), n - F.greatest(n - before, F.lit(0)))
-    tail = F.slice("ls", n + 2, F.least(F.lit(after), F.size("ls") - n - 1))
+    body = F.transform(F.split(F.regexp_replace(F.col(text), "\n$", ""), "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
+    lead = lambda ls, i: F.slice(ls, F.greatest(i + 1 - before, F.lit(1)), i - F.greatest(i - before, F.lit(0)))
+    tail = lambda ls, i: F.slice(ls, i + 2, F.least(F.lit(after), F.size(ls) - i - 1))
+    shown = lambda ls, i: F.struct(i.alias("i"), F.get(ls, i).alias("line"), lead(ls, i).alias("lead"), tail(ls, i).alias("tail"))
+    places = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.contains(F.get(ls, i), F.lit(literal)))
+    hits = F.flatten(F.transform(F.array(body), lambda ls: F.transform(places(ls), lambda i: shown(ls, i))))
+    found = files.where(F.col(text).contains(literal)).select(key, F.explode(hits).alias("h")).select(key, "h.*")
+    n, lead, tail, start = F.col("i"), F.col("lead"), F.col("tail"), F.instr("line", literal)
     out = found.select(key, (n + 1).alias("line_number"), start.alias("column_start"), (start + len(literal)).alias("column_end"), "line", lead.alias("context_before"), tail.alias("context_after")).orderBy(key, "line_number", "column_start")
     return out.limit(limit) if limit else out
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import tokens as T
+from textquarry.operators import text_index as I
+from textquarry.sources.snapshots import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +42,21 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), path.alias("path"), path.alias("file_path"), F.col("lang").alias("language"), "text", "source", "n_chars")
 
 
+_indexes: dict[tuple, I.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, folder: str) -> I.TextIndex:
+    """The index over all documents of a folder: built and written once a session and state of the table, then read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = (spark.sparkContext.applicationId, str(path), fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())
+    if state not in _indexes:
+        at = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+        I.build(files(spark, folder), whole=True).write(at)
+        _indexes[state] = I.read(spark, at)
+    return _indexes[state]
+
+
 def _quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in sorted(words))
 

@@ -11,7 +11,7 @@ from textquarry.functions import tokens as T
 from textquarry.operators import compose as C
 from textquarry.operators import text_index as I
 from textquarry.operators import text_search as S
-from textquarry.plans.registry import PATH_SQL, files, query, table, tokens_sql
+from textquarry.plans.registry import PATH_SQL, files, query, table, text_index, tokens_sql
 
 TOKENS = tokens_sql("doc_id", "documents")
 SCORED = f"""{TOKENS},
@@ -25,19 +25,21 @@ ONE = "ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.5 + 0.
 @query(f"WITH {TOKENS} SELECT t AS term, count(*) AS n FROM toks GROUP BY t")
 def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How often each search token occurs."""
-    return files(spark, folder).select(F.explode(T.tokens("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return I.vocabulary_counts(files(spark, folder), F.col("text")).select("term", "n")
 
 
 @query(f"WITH {TOKENS} SELECT t AS term, count(DISTINCT doc_id) AS df FROM toks GROUP BY t")
 def term_df(spark: SparkSession, folder: str) -> DataFrame:
-    """In how many documents each search token occurs; distinct within the row, so one shuffle of partial counts."""
-    return files(spark, folder).select(F.explode(T.unique_tokens("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """In how many documents each search token occurs: the length of its list in the index."""
+    return text_index(spark, folder).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query(f"WITH {TOKENS} SELECT d.doc_id, count(t) AS doc_len, count(DISTINCT t) AS terms FROM documents d LEFT JOIN toks USING (doc_id) GROUP BY d.doc_id")
 def doc_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    found = T.tokens("text")
-    return files(spark, folder).select(F.col("doc").alias("doc_id"), F.size(found).cast("long").alias("doc_len"), F.size(F.array_distinct(found)).cast("long").alias("terms"))
+    """Tokens and different tokens of each document, from the index."""
+    index = text_index(spark, folder)
+    terms = index.postings.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"))
+    return index.docs.join(terms, "doc", "left").select(F.col("doc").alias("doc_id"), "doc_len", F.coalesce("terms", F.lit(0).cast("long")).alias("terms"))
 
 
 def benchmark_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +48,7 @@ def benchmark_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def benchmark_hits(spark: SparkSession, folder: str, k: int) -> DataFrame:
     """The k best documents of each benchmark item: query, doc, score (rounded), rank; ties by doc."""
-    found = I.bm25(I.build(files(spark, folder), whole=True), benchmark_terms(spark, folder), paths=False, few=False).withColumn("score", F.round("score", 6))
+    found = I.bm25(text_index(spark, folder), benchmark_terms(spark, folder), paths=False).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -92,29 +94,27 @@ both_ AS (SELECT doc_id, {ONE} AS s FROM post JOIN dfs USING (term) JOIN lens US
 SELECT doc_id, round(sum(s), 6) AS score FROM both_ GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
 def bm25_path_blend(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty best documents by content and half the path score."""
-    found = I.bm25(I.build(files(spark, folder), whole=True), I.query_frame(spark, {"q": BLEND}))
+    found = I.asked(text_index(spark, folder), {"q": BLEND})
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(f"WITH {SCORED} SELECT doc_id, round(sum({ONE}), 6) AS score FROM post JOIN dfs USING (term) JOIN lens USING (doc_id), stat WHERE term IN ('nting', 'thing', 'ererly') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents for one query, by content."""
-    found = I.bm25(I.build(files(spark, folder), whole=True), I.query_frame(spark, {"q": "nting thing ererly"}), paths=False)
+    found = I.asked(text_index(spark, folder), {"q": "nting thing ererly"}, paths=False)
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 @query()
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
     """Ranked search with a boolean expression, a language filter, boosts and snippets."""
-    docs = files(spark, folder)
-    return S.search(docs, I.build(docs, whole=True), '(nting OR thing) AND "of the" lang:en')
+    return S.search(files(spark, folder), text_index(spark, folder), '(nting OR thing) AND "of the" lang:en')
 
 
 @query()
 def text_search_fast(spark: SparkSession, folder: str) -> DataFrame:
     """Ranked search of plain words with intent expansion: texts are read for the final rows only."""
-    docs = files(spark, folder)
-    return S.search(docs, I.build(docs, whole=True), "thing nting token", intent_mode=True)
+    return S.search(files(spark, folder), text_index(spark, folder), "thing nting token", intent_mode=True)
 
 
 def _matching(spark: SparkSession, folder: str, text: str) -> DataFrame:
