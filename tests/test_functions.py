@@ -11,6 +11,7 @@ from textquarry.functions import intent as N
 from textquarry.functions import paths as P
 from textquarry.functions import query as Q
 from textquarry.functions import tokens as T
+from textquarry.functions.intent import stem
 
 
 def column(spark, values, make, kind="string"):
@@ -93,3 +94,15 @@ def test_keyword_scores(spark):
     rows = spark.createDataFrame([(["A", "b", "c"], ["a", "d"]), ([], ["a"]), (["a"], ["a"])], "q array<string>, c array<string>")
     found = rows.select(T.keyword_overlap("q", "c"), T.keyword_coverage("q", "c")).collect()
     assert [tuple(round(x, 6) for x in r) for r in found] == [(0.333333, 0.333333), (0.0, 0.0), (1.0, 1.0)]
+
+
+def test_stems():
+    """Pairs from the published vocabulary of the algorithm."""
+    want = "consign:consign consigned:consign consistency:consist knightly:knight knights:knight running:run generously:generous generate:generat caresses:caress ponies:poni ties:tie hopping:hop hoping:hope agreed:agre happy:happi cry:cri by:by say:say sky:sky skis:ski national:nation relational:relat conditional:condit vietnamization:vietnam formalize:formal electrical:electr hopeful:hope goodness:good adjustment:adjust adoption:adopt controlling:control rate:rate fall:fall succeed:succeed communism:communism"
+    assert {w.split(":")[0]: stem(w.split(":")[0]) for w in want.split()} == dict(w.split(":") for w in want.split())
+
+
+def test_variants(spark):
+    found = spark.createDataFrame([(w,) for w in ("queries", "running", "stored", "boxes", "classes", "class", "is", "snippets")], "w string").select("w", T.variants(F.col("w"))).collect()
+    assert dict(map(tuple, found)) == {"queries": ["queries", "query"], "running": ["running", "runn", "run"], "stored": ["stored", "store", "persisted", "stor", "store"], "boxes": ["boxes", "box"], "classes": ["classes", "class"], "class": ["class"], "is": [], "snippets": ["snippets", "source", "snippet", "source"]}
+    assert spark.range(1).select(T.identifier_tokens(F.lit("src/QueryRunner_v2.indexed"), 6)).first()[0] == ["src", "query", "runner", "indexed", "index", "stored"]

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from textquarry.operators import rescoring as B
 from textquarry.operators import text_index as I
 from textquarry.operators import text_search as S
 from textquarry.operators import vector_search as V
@@ -77,6 +78,28 @@ def test_grep(spark):
     assert S.grep(rows, "two", limit=1).count() == 1
 
 
+def test_nearest_in_passes_and_apart(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0], str(i % 3)) for i in range(60)] + [(99, None, "0")], "vec_id long, embedding array<float>, label string")
+    q = spark.createDataFrame([(str(i), [1.0 * i, 2.0, 1.0]) for i in range(3)], "query_id string, query_vector array<double>")
+    one = sorted(map(tuple, V.knn(rows, q, 5, metric="dot").collect()))
+    monkeypatch.setattr(V, "QUERY_ROWS", 1)
+    assert sorted(map(tuple, V.knn(rows, q, 5, metric="dot").collect())) == one and len(one) == 15
+    apart = V.knn(rows, q, 5, apart="label").join(rows, "vec_id").collect()
+    assert len(apart) == 15 and all(r.label != r.query_id for r in apart)
+
+
+def test_late_interaction_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)], i % 3) for i in range(60)], "vec_id long, embedding array<float>, label int")
+    q = rows.where("vec_id % 10 = 0").select(F.col("label").alias("query_id"), "vec_id", F.col("embedding").alias("query_vector"))
+    found = {(r.query_id, r.label): r.score for r in V.maxsim_of_sets(rows, q, block=7).collect()}
+    held = [(r.vec_id, r.embedding, r.label) for r in rows.collect()]
+    want = {}
+    for i, v, a in held:
+        for b in range(3) if i % 10 == 0 else ():
+            want[a, b] = want.get((a, b), 0) + max(v[0] * w[0] + v[1] * w[1] for _, w, c in held if c == b)
+    assert found == pytest.approx(want)
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0]), (4, [0.0, 0.0])], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 1.0])], "query_id long, query_vector array<double>")
@@ -110,12 +133,57 @@ def test_structured():
     assert V.structured_weights(parts) == {0: 2.0, 1: 1.0, 2: 1.0}
 
 
+POINT = {"symbol_name": "run", "symbol_kind": "other", "file_path": "lib/x.rb", "keywords": None, "score": 0.5, "path_context": None, "role": None, "signature": None, "parent": None, "description": None, "docstring": None}
+SCHEMA = "symbol_name string, symbol_kind string, file_path string, keywords array<string>, score double, path_context string, role string, signature string, parent string, description string, docstring string"
+
+
+@pytest.mark.parametrize(
+    ("asked", "changed", "want"),
+    [
+        ([], {}, 0.5),
+        (["alpha"], {"keywords": ["alpha", "beta"]}, 0.5 * 0.7 + 0.5 * 0.3 + 0.16),
+        (["alpha"], {"path_context": "src/alpha.py"}, 0.5 + 0.1 + 0.16),
+        (["zeta"], {"symbol_kind": "function"}, 0.5 * 1.12),
+        (["zeta", "eta"], {"symbol_kind": "variable"}, 0.5 * 0.8 * 0.7),
+        (["zeta", "eta"], {"file_path": "tests/x.rb"}, 0.5 * 0.3),
+        (["zeta", "tests"], {"file_path": "lib/x_test.py"}, 0.5),
+        (["zeta", "eta"], {"file_path": "scripts/x.rb"}, 0.5 * 0.68),
+        (["zeta", "eta"], {"file_path": "x.json"}, 0.5 * 0.82),
+        (["alpha", "zeta"], {"file_path": "lib/alpha.rb"}, 0.5 + 0.5 * 0.16),  # one word of a base name isn't enough
+        (["alpha", "beta"], {"file_path": "lib/alpha_beta.rb"}, 0.5 + 0.16 + 0.16),
+        (["provider", "lazy"], {"file_path": "a/providers/factory.py"}, (0.5 + 0.09) + 0.5 * 0.16),
+        (["import"], {"file_path": "graph/imports.rb"}, 0.5 + 3 * 0.025 + 0.16),
+        (["callers"], {"symbol_name": "trace_edges"}, 0.5 + 3 * 0.02),
+        (["zeta"], {"role": "logic"}, 0.5),  # only for questions about actions or scopes
+        (["delete"], {"role": "logic"}, 0.5 + 0.04),
+        (["delete"], {"role": "test"}, 0.5 - 0.04),
+        (["delete"], {"symbol_name": "delete"}, 0.5 + 0.18 + 0.08 + 0.16),
+        (["zeta"], {"symbol_name": "path_bonus"}, 0.5 * 0.25),
+        (["ranking"], {"symbol_name": "path_bonus"}, 0.5),
+        (["parser", "startup"], {"symbol_kind": "import"}, 0.5 * 0.8 * 0.45 * 0.7),
+        (["parser", "startup"], {"file_path": "a/providers/x.rb"}, 0.5 * 0.2),
+        (["zeta", "eta"], {"symbol_name": "__init__"}, 0.5 * 0.55),
+        (["zeta", "eta"], {"symbol_kind": "class", "symbol_name": "QueryResult"}, 0.5 * 1.12),
+        (["create", "eta"], {"symbol_kind": "class", "symbol_name": "QueryResults"}, 0.5 * 1.12 * 0.72),
+        (["alpha", "beta", "eta"], {"docstring": "alpha beta"}, (0.5 + 2 / 3 * 0.16) * 1.08),
+        (["alpha", "beta"], {"symbol_name": "alphaBeta"}, (0.5 + 0.18) * 1.12 + 0.16),
+        (["zeta", "eta"], {"symbol_name": "main"}, 0.5 * 0.92),
+        (["removed"], {"symbol_name": "delete"}, 0.5 + 0.18 + 0.16),  # a synonym
+    ],
+)
+def test_rescoring_terms(spark, asked, changed, want):
+    rows = spark.createDataFrame([tuple((POINT | changed).values())], SCHEMA)
+    assert rows.select(B.rescore(rows, asked)).first()[0] == pytest.approx(want)
+
+
 def test_rescore_and_filters(spark):
     rows = spark.createDataFrame([("login", "function", "src/auth.py", ["auth", "login"], 0.5), ("login", "variable", "tests/test_auth.py", ["auth"], 0.5)], "symbol_name string, symbol_kind string, file_path string, keywords array<string>, score double")
-    a, b = (r[0] for r in rows.select(V.rescore(rows, ["auth", "login"])).collect())
+    a, b = (r[0] for r in rows.select(B.rescore(rows, ["auth", "login"])).collect())
     assert a > b > 0
-    up = rows.select(V.rescore(rows, ["auth", "login"], rules=[("auth.py", "login", ("auth",), "+", 1.0)])).collect()
-    assert up[0][0] > a
+    rule = B.Rule(0.5, ("lib/auth.py", "src/auth.py"), ("login",), (frozenset({"auth"}),), frozenset({"other"}), adds=False)
+    up = rows.select(B.rescore(rows, ["auth", "login"], rules=[rule])).collect()
+    assert up[0][0] < a and up[1][0] == pytest.approx(b)
+    assert rows.select(B.rescore(rows, ["login", "other"], rules=[rule])).collect() == rows.select(B.rescore(rows, ["login", "other"])).collect()
     p = rows.withColumn("path_prefixes", F.array(F.lit("src"), F.lit("src/auth.py"))).withColumn("language", F.lit("python"))
     assert p.where(V.payload_filter(language="python", prefix="src", kinds=["function"])).count() == 1
 

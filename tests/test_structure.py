@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from textquarry.operators import patterns as X
 from textquarry.operators import protocol as R
 from textquarry.operators import symbols as Y
 from textquarry.sources import files as L
-from textquarry.sources.snapshots import Snapshots, fingerprint
+from textquarry.sources.snapshots import Manifest, Snapshots, collections, fingerprint
 from textquarry.streaming import feed
 
 PY = '''import os
@@ -229,7 +231,89 @@ def test_composition(spark, files, symbols):
     hits = spark.createDataFrame([("docs/a.md", 3.0), ("src/b.py", 2.0)], "path string, score double")
     assert {(r.path, r.part) for r in C.split_text(hits, "question", 5).collect()} == {("docs/a.md", "related"), ("src/b.py", "seed")}
     assert [r.file_path for r in C.lexical_related(hits, rows, "question").collect()] == ["src/b.py"]
-    assert C.focus(files, "app/main.py", ["helper", "path"]).first().line_number == 11
+    assert C.focus(files, "app/main.py", ["helper", "path"]).first().line_start == 12
+
+
+def test_focus_on_what_the_question_is_about(spark):
+    text = "\n".join(["load it", "x", "x", "x", "x", "start of orders", "", "", "", "load shop", "", "", "", "", "name_of orders"])
+    files = spark.createDataFrame([("a.js", text)], "file_path string, text string")
+    one = lambda words, **o: tuple(C.focus(files, "a.js", words, **o).select("line_start", "line_end", "score").first())
+    assert one(["start", "orders"]) == (4, 8, pytest.approx(0.05 * (6 + 2)))
+    assert one(["load", "orders"], score=1.0)[:2] == (4, 8)  # a line with words of DOING alone counts a quarter
+    assert one(["orders"], score=1.0) == (4, 8, pytest.approx(1.0 + 0.05 * 4))
+    assert one(["shop", "carts"], project="shop", score=1.0)[2] == pytest.approx(0.55 * 0.55 + 0.05 * 4)
+    assert C.focus(files, "a.js", ["nothing"]).collect() == [] and C.focus(files, "a.js", []).collect() == []
+
+
+def test_companions(spark):
+    row = "file_path string, relation string, seed_file string, distance int, score double"
+    lexical = spark.createDataFrame([("a", "lexical", "", 1, 3.0), ("b", "lexical", "", 1, 2.0)], row)
+    graph = spark.createDataFrame([("g", "graph", "", 1, 1.0), ("b", "graph", "", 1, 0.5), ("h", "graph", "", 1, 0.2)], row)
+    assert [r.file_path for r in C.interleave(lexical, graph, 9).collect()] == ["g", "a", "b", "h"]
+    found = spark.createDataFrame([("scripts/x.py", 1), ("src/y.py", 2), ("a/scripts/z.py", 3)], "file_path string, rank int")
+    assert [r.file_path for r in C.tooling_neighbours(found, found.where("rank = 1"), "benchmark latency", 5).collect()] == ["a/scripts/z.py"]
+    assert C.tooling_neighbours(found, found.limit(0), "how are orders stored", 5).collect() == []
+    assert C.text_is_primary([("a", ["one", "two", "three", "four"])], "q", set()) and not C.text_is_primary([("a", ["one", "two", "three", "four"])], "q", {"a"})
+    assert C.text_is_primary([("a", ["order", "cart", "price"])], "order cart price rules", set()) and not C.text_is_primary([("a", ["order"])], "order cart", set())
+    hits = spark.createDataFrame([("d/x.py", 2.0, 1, 4, "body", "python", True)] * 2, "path string, score double, line_start int, line_end int, snippet string, language string, truncated boolean")
+    assert [(r.file_path, r.symbol_name, r.symbol_kind, r.source, r.path_context) for r in C.text_results(hits).collect()] == [("d/x.py", "x.py", "file_match", "body", "d/x.py")]
+
+
+@pytest.mark.parametrize(
+    ("lines", "kept"),
+    [
+        (["*.log", "!keep.log"], {"a.py", "keep.log", "d/keep.log"}),
+        (["/d", "!d/keep.log"], {"a.py", "x.log", "keep.log"}),  # nothing inside an ignored folder comes back
+        (["d/*.log"], {"a.py", "x.log", "keep.log"}),
+        (["**/keep.log", "# x.log", ""], {"a.py", "x.log", "d/x.log"}),
+        (["d/"], {"a.py", "x.log", "keep.log"}),
+        (["a.py/"], {"a.py", "x.log", "keep.log", "d/x.log", "d/keep.log"}),
+        (["[xk]*.log"], {"a.py"}),
+        (["?.log", "d/**"], {"a.py", "keep.log"}),
+    ],
+)
+def test_ignore_rules(spark, lines, kept):
+    rows = spark.createDataFrame([(p,) for p in ("a.py", "x.log", "keep.log", "d/x.log", "d/keep.log")], "p string")
+    assert {r.p for r in rows.where(~L.ignored(F.col("p"), L.ignore_rules(lines))).collect()} == kept
+
+
+def test_ignore_files_are_read(spark, tmp_path):
+    for name in ("src/gen/a.py", "src/b.py", "lib/gen/c.py", "lib/d.go"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("gen/\n*.go\n")
+    (tmp_path / "lib/.gitignore").write_text("!d.go\n")
+    assert {r.file_path for r in L.scan(spark, str(tmp_path), content=False).collect()} == {"src/b.py", "lib/d.go"}
+    (tmp_path / "package.json").write_text("{}")
+    assert L.project_name(str(tmp_path / "src" / "gen")) == L.project_name(str(tmp_path)) and L.project_name("x", "9 lives!") == "_9_lives_"
+
+
+def test_manifest_moves_all_together(spark, tmp_path):
+    store = str(tmp_path / "store")
+    m, data = Manifest(spark, store), {n: Snapshots(spark, f"{store}/{n}") for n in "ab"}
+    assert m.read() == {}
+    for i in range(4):
+        m.write({n: d.write(spark.range(i + 1)) for n, d in data.items()})
+        assert m.read() == {"a": i + 1, "b": i + 1}
+    assert data["a"].versions() == [3, 4] and data["a"].read(m.read()["a"]).count() == 4  # the state before stays readable
+    data["a"].commit(4)
+    assert [(c["name"], c["current"]) for c in collections(spark, store)] == [("a", 4)]
+
+
+def test_operations():
+    ops, gate = feed.Operations(most=2), threading.Event()
+    one, joined = ops.start("index", "/A", "p", lambda stage: stage("reading") or gate.wait(10) and {"files": 1})
+    again, under_way = ops.start("index", "/a", "p", dict)
+    assert not joined and under_way and again is one and [o.id for o in ops.listed(active=True)] == [one.id]
+    gate.set()
+    assert ops.wait(one.id, 10).status == "completed" and one.result == {"files": 1}
+    bad, _ = ops.start("index", "/a", "p", lambda stage: 1 / 0)
+    assert ops.wait(bad.id, 10).status == "failed" and "zero" in bad.error
+
+
+def test_pack_lines(spark):
+    rows = spark.createDataFrame([("a", 1, "one two three four five six seven eight nine"), ("a", 2, "x"), ("b", 1, "y")], "file_path string, line_number int, line string")
+    assert [(r.file_path, r.line_number) for r in K.pack_lines(rows, 12).orderBy("file_path", "line_number").collect()] == [("a", 2), ("b", 1)]
 
 
 def test_sources(spark, tmp_path):
@@ -239,7 +323,7 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).write_text(text)
     found = L.texts(L.scan(spark, str(tmp_path), ignore=["skip_*"]))
     assert [(r.file_path, r.language, r.text) for r in found.collect()] == [("a/x.py", "python", "print(1)")]
-    assert [r.folder for r in L.folders(found).collect()] == ["a"] and L.project_name("/x/My Project/") == "my-project"
+    assert [r.folder for r in L.folders(found).collect()] == ["a"] and L.project_name("/x/My Project/") == "My_Project"
 
 
 def test_snapshots(spark, tmp_path):

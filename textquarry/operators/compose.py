@@ -106,6 +106,14 @@ def merge_related(lists: list[DataFrame]) -> DataFrame:
     return found.groupBy("file_path").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set(F.struct("list", "relation", "seed_file"))).alias("relations"), F.min("list").alias("source_list"))
 
 
+#: Words of questions about how something works, which the code that it calls explains.
+BEHAVIOUR = frozenset("behavior flow fuse how logic merge why work works".split())
+
+
+def wants_helpers(question: str) -> bool:
+    return bool({w for w in re.findall(r"\w+", question.lower())} & BEHAVIOUR)
+
+
 def import_related(edges: DataFrame, seeds: DataFrame, asked: list[str], limit: int = 8) -> DataFrame:
     """Import neighbours of the seeds (file_path), by shared words with the question, then path."""
     s = seeds.select(F.col("file_path").alias("seed_file"))
@@ -190,19 +198,71 @@ def merge_symbols(lists: list[DataFrame], keys: tuple[str, ...] = ("file_path",
     return found.groupBy(*keys).agg(F.min("list").alias("list"))
 
 
-def focus(files: DataFrame, file: str, words: list[str], radius: int = 3) -> DataFrame:
-    """(file_path, line_number, score, snippet): the block of one file that mentions most of up to four words: 3 for each
-    word covered and one a mention, and a twentieth of the best for the rest of the file."""
-    used = [w.lower() for w in words[:4]]
+def text_is_primary(hits: list[tuple[str, list[str]]], question: str, skipped: set[str]) -> bool:
+    """Whether text hits (path, matched terms; best first) answer by themselves: one of the first five that isn't skipped
+    matches four terms, or three keywords of the question."""
+    asked = set(T.keywords_py(question, 20))
+    return any(len(m) >= 4 or len(asked & {t.lower() for t in m}) >= 3 for path, m in hits[:5] if path not in skipped)
+
+
+def text_results(hits: DataFrame) -> DataFrame:
+    """Text hits as results: the snippet of a file with its place, each place once."""
+    once = hits.dropDuplicates(["path", "line_start", "line_end"])
+    return once.select(F.col("path").alias("file_path"), F.substring_index("path", "/", -1).alias("symbol_name"), F.lit("file_match").alias("symbol_kind"), "line_start", "line_end", F.col("snippet").alias("source"), F.col("snippet").alias("description"), "language", T.path_context("path").alias("path_context"), "score")
+
+
+def tooling_neighbours(results: DataFrame, taken: DataFrame, question: str, limit: int) -> DataFrame:
+    """Of semantic results (file_path, rank) the scripts that aren't taken; only for questions about tools."""
+    out = results if S._about("tooling", terms(question)) else results.limit(0)
+    scripts = out.where(P.normal_path(F.col("file_path")).rlike(r"(^|/)scripts/")).join(taken.select("file_path").distinct(), "file_path", "left_anti")
+    first = scripts.groupBy("file_path").agg(F.min("rank").alias("rank")).orderBy("rank", "file_path").limit(limit)
+    return first.select("file_path", F.lit("semantic_tooling_neighbor").alias("relation"), F.lit("").alias("seed_file"), F.lit(1).alias("distance"))
+
+
+def wants_companions(question: str) -> bool:
+    """Whether a second search, in the terms of graph code, adds to an answer."""
+    return is_graph_question(question)
+
+
+def interleave(lexical: DataFrame, graph: DataFrame, limit: int) -> DataFrame:
+    """The best graph companion first, then the lexical ones, then the other graph ones; each file once.
+
+    Both: (file_path, relation, seed_file, distance, score).
+    """
+    ranked = graph.withColumn("n", F.row_number().over(Window.orderBy(F.desc("score"), "file_path")))
+    both = lexical.withColumn("list", F.lit(1)).unionByName(ranked.withColumn("list", F.when(F.col("n") == 1, 0).otherwise(2)).drop("n"))
+    once = both.withColumn("n", F.row_number().over(Window.partitionBy("file_path").orderBy("list", F.desc("score")))).where("n = 1").drop("n")
+    return once.orderBy("list", F.desc("score"), "file_path").limit(limit)
+
+
+#: Words that say that something is done, not what with.
+DOING = frozenset("begin init load open run show start".split())
+STRUCTURED = r"""[a-z0-9]+_[a-z0-9_]+|typename|name:\s*"[^"]+\""""
+
+
+def focus(files: DataFrame, file: str, words: list[str], *, around: int = 2, project: str = "", score: float = 0.0) -> DataFrame:
+    """(file_path, line_start, line_end, score, snippet): the place of one file that answers best.
+
+    Lines that hold one of the first four words are rated with the lines about them: 3 for each word in the line, 1 for
+    each word in the block; a quarter of that if the line only has words of DOING and the block none of the subject's.
+    The result's own score counts less if the line only has words of the project's name, or the block has neither a
+    word of the subject nor structure; a twentieth of the rating is added.
+    """
+    used, asked = words[:4], list(dict.fromkeys(w.lower() for w in words))
+    own = {t for t in T.symbol_tokens_py(project) if len(t) >= 4}
+    subject = [w for w in asked if w not in DOING and w not in own]
     lines = S.lines(files.where(F.col("file_path") == file), key="file_path")
-    near = Window.partitionBy("file_path").orderBy("line_number").rowsBetween(-radius, radius)
-    block = lines.withColumn("block", F.array_join(F.collect_list("line").over(near), "\n"))
+    near = Window.partitionBy("file_path").orderBy("line_number").rowsBetween(-around, around)
+    block = lines.withColumn("block", F.array_join(F.collect_list("line").over(near), "\n")).withColumn("line_start", F.min("line_number").over(near)).withColumn("line_end", F.max("line_number").over(near))
     low = F.lower("block")
-    cover = sum((F.when(low.contains(w), 1).otherwise(0) for w in used), F.lit(0))
-    mentions = sum((P.count_of(low, [w]) for w in used), F.lit(0))
-    score = cover * 3.0 + mentions * 1.0
-    rated = block.withColumn("score", score + F.lit(0.05) * F.max(score).over(Window.partitionBy("file_path")))
-    return rated.where(score > 0).orderBy(F.desc("score"), "line_number").limit(1).select("file_path", "line_number", "score", F.col("block").alias("snippet"))
+    holds = lambda text, ws: [F.when(text.contains(w), w) for w in ws]
+    held = F.array_compact(F.array(*holds(F.col("line"), used))) if used else F.array().cast("array<string>")
+    within = lambda ws: F.forall(held, lambda t: t.isin(*sorted(ws))) if ws else F.lit(False)
+    told = F.lit(bool(subject)) & ~sum((low.contains(w).cast("int") for w in subject), F.lit(0)).cast("boolean")
+    rated = block.withColumn("held", held).where(F.size("held") > 0).withColumn("rating", (F.size("held") * 3.0 + sum((low.contains(w).cast("int") for w in asked), F.lit(0))) * F.when(within(DOING) & told, 0.25).otherwise(1.0))
+    factor = F.when(within(own) & told, 0.55).otherwise(1.0) * F.when(told & ~low.rlike(STRUCTURED), 0.55).otherwise(1.0)
+    best = rated.orderBy(F.desc("rating"), "line_number").limit(1)
+    return best.select("file_path", "line_start", "line_end", (F.lit(float(score)) * factor + F.col("rating") * 0.05).alias("score"), F.col("block").alias("snippet"))
 
 
 def retrieval_metrics(results: DataFrame, expected: DataFrame, *, by: str = "query_id", path: str = "file_path", rank: str = "rank") -> DataFrame:
@@ -219,13 +279,15 @@ def retrieval_metrics(results: DataFrame, expected: DataFrame, *, by: str = "que
     return each.agg(F.count(F.lit(1)).alias("queries"), flag(1).alias("hit_at_1"), flag(3).alias("hit_at_3"), F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))).alias("mrr"), F.avg(F.coalesce(F.col("covered"), F.lit(0)) / F.col("n")).alias("coverage"))
 
 
-def bundle(results: DataFrame, edges: DataFrame, question: str, *, anchors: int = 3, related: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Anchors of one query's ranked results, and merged companions: semantic neighbours, then import neighbours."""
+def bundle(results: DataFrame, edges: DataFrame, question: str, *, anchors: int = 3, related: int = 8, seeds: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Anchors of one query's ranked results, and merged companions: tools where they are asked about, semantic neighbours,
+    then import neighbours of the first `seeds` anchors."""
     split = split_anchors(results, anchors, related)
     chosen = split.where("part = 'anchor'")
     near = split.where("part = 'neighbour'").select("file_path", F.lit("semantic_neighbor").alias("relation"), F.lit("").alias("seed_file"), F.lit(1).alias("distance"))
-    imports = import_related(edges, chosen.orderBy("place").limit(2), T.keywords_py(question), related).select("file_path", "relation", "seed_file", "distance")
-    merged = merge_related([near, imports]).join(chosen.select("file_path"), "file_path", "left_anti")
+    tools = tooling_neighbours(results, chosen, question, related)
+    imports = import_related(edges, chosen.orderBy("place").limit(max(seeds, 1)), T.keywords_py(question), related).select("file_path", "relation", "seed_file", "distance")
+    merged = merge_related([tools, near, imports]).join(chosen.select("file_path"), "file_path", "left_anti")
     return chosen, merged.orderBy("source_list", "distance", "file_path").limit(related)
 
 

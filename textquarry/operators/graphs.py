@@ -64,15 +64,15 @@ def candidates(module: Column, language: Column, source: Column) -> Column:
     return F.transform(found, _normal)
 
 
-def import_edges(files: DataFrame) -> DataFrame:
+def import_edges(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(source_file, target_file, import_statement, module_path, language, line): imports that lead to another file.
 
-    Candidate paths are joined with the paths by equality; of those that exist the likeliest wins. Edges of a file to
+    known: all files, if `files` are only those to parse. Candidate paths are joined with the paths by equality; of those that exist the likeliest wins. Edges of a file to
     itself go, repeated ones stay.
     """
     found = import_statements(files).withColumn("module_path", parse_import(F.col("statement"), F.col("language"))).where("module_path != ''")
     spread = found.select("*", F.posexplode(candidates(F.col("module_path"), F.col("language"), F.col("source_file"))).alias("p", "target_file"))
-    real = spread.join(files.select(F.col("file_path").alias("target_file")), "target_file")
+    real = spread.join((files if known is None else known).select(F.col("file_path").alias("target_file")), "target_file")
     best = real.groupBy("source_file", "language", "line", "statement", "module_path").agg(F.min_by("target_file", "p").alias("target_file"))
     return best.where("source_file != target_file").select("source_file", "target_file", F.col("statement").alias("import_statement"), "module_path", "language", "line")
 
@@ -88,6 +88,16 @@ def links(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> Data
     return pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
 
 
+def sharing(links: DataFrame, asked: DataFrame, *, least: int, key: str = "page_id", target: str = "href") -> DataFrame:
+    """(key, other_id, shared): of each page asked for, the others that share `least` targets or more with it.
+
+    links, asked: distinct (key, target). A target of very many pages meets the pages asked for only, and the pages that
+    have it come in as many parts as adaptive execution makes of a skewed join side.
+    """
+    other = links.select(F.col(key).alias("other_id"), target)
+    return asked.select(key, target).join(other, target).where(F.col(key) != F.col("other_id")).groupBy(key, "other_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+
+
 def call_sites(symbols: DataFrame) -> DataFrame:
     """(caller_symbol_id, callee_name, callee_name_lower, caller_line): names before parentheses in callable symbols.
 
@@ -130,6 +140,8 @@ def trace(spark: SparkSession, edges: DataFrame, start: DataFrame, *, depth: int
     for a, b in ways:
         part = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
         step = part if step is None else step.unionByName(part)
+    step.distinct().write.parquet(f"{path}/edges")  # read at every level
+    step = spark.read.parquet(f"{path}/edges")
     start.select("node").distinct().withColumn("level", F.lit(0)).write.parquet(f"{path}/level=0")
     read = lambda n: spark.read.parquet(*[f"{path}/level={i}" for i in range(n + 1)])
     done = 0

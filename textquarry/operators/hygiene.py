@@ -131,12 +131,16 @@ def description_keywords(df: DataFrame, most: int = 10) -> Column:
     return T.keywords(text, most)
 
 
+def artifact_bundle(path: str | Column) -> Column:
+    """Whether a path's name looks like that of a built bundle."""
+    name = F.lower(F.substring_index(F.col(path) if isinstance(path, str) else path, "/", -1))
+    return name.rlike(r"(\.min\.|\.bundle\.|\.chunk\.|-[0-9a-f]{8,}\.|^(chunk|vendor|bundle)[.-])")
+
+
 def artifact_profile(text: Column, path: Column) -> dict[str, Column]:
     """Line statistics, whether the name looks like a bundle's, and whether the content looks minified."""
     s = line_stats(text)
-    name = F.lower(F.substring_index(path, "/", -1))
-    bundle = name.rlike(r"(\.min\.|\.bundle\.|\.chunk\.|-[0-9a-f]{8,}\.|^(chunk|vendor|bundle)[.-])")
-    return s | {"bundle_name": bundle, "minified": minified(text)}
+    return s | {"bundle_name": artifact_bundle(path), "minified": minified(text)}
 
 
 def artifact_downgrade(text: Column, path: Column, language: Column) -> Column:

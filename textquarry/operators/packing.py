@@ -70,6 +70,22 @@ def pack_greedy(results: DataFrame, budget: int, *, least: int = 64, compress: s
     return packed.select(F.col("q").alias(by), F.col("k").alias(key), F.col("s").alias(score), F.col("t").alias(source), F.col("n").alias("tokens"), F.col("c").alias("truncated"))
 
 
+def pack_lines(found: DataFrame, budget: int, *, file: str = "file_path", line: str = "line", at: str = "line_number") -> DataFrame:
+    """Grep results in order of file and line, as long as they fit: what doesn't is skipped and shorter ones after it are
+    tried; adds `tokens`. Runs over the results of one search, which its limit bounds."""
+    rows = found.withColumn("tokens", tokens_of(F.concat(F.col(file), F.lit(":"), F.col(at), F.lit(": "), F.col(line))))
+    kind = rows.schema
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        table, used, keep = table.sort_values([file, at]), 0, []
+        for n in table["tokens"]:
+            keep.append(used + n <= budget)
+            used += n if keep[-1] else 0
+        return table[keep]
+
+    return rows.groupBy(F.lit("all")).applyInPandas(run, kind)
+
+
 def pack_text(text: str, budget: int) -> tuple[str, bool]:
     """Lines of a rendered tree within a budget."""
     return truncate(text, budget)
@@ -224,10 +240,14 @@ SIGNALS = {"service": r"\b([A-Z]\w*(?:Service|Client|Manager|Controller|Provider
 def signals(files: DataFrame, most: int = 12) -> DataFrame:
     """(file_path, kind, value, offset, count, rarity, rank): names in artifacts, rarest first; rarity is the sum of 1/df
     over a value's parts, df being the number of files."""
-    found = None
-    for kind, pattern in SIGNALS.items():
-        part = files.select("file_path", "text", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("value")).groupBy("file_path", "value").agg(F.count(F.lit(1)).alias("count"), (F.instr(F.first("text"), F.col("value")) - 1).alias("offset")).withColumn("kind", F.lit(kind))
-        found = part if found is None else found.unionByName(part)
+    def told(kind: str, pattern: str) -> Column:
+        values = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+        one = lambda vs: F.transform(F.array_distinct(vs), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.size(F.filter(vs, lambda x: x == v)).cast("long").alias("count"), (F.instr(F.col("text"), v) - 1).alias("offset")))
+        return F.flatten(F.transform(F.array(values), one))
+
+    # counted and placed inside the row: no text goes on with a value
+    rows = files.select("file_path", F.explode(F.concat(*[told(k, p) for k, p in SIGNALS.items()])).alias("s")).select("file_path", "s.*")
+    found = rows.groupBy("file_path", "kind", "value").agg(F.sum("count").alias("count"), F.min("offset").alias("offset"))
     parts = found.select("file_path", "kind", "value", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("value", "(?<=[a-z0-9])(?=[A-Z])", " ")), r"[^a-z0-9]+"))).alias("part")).where("part != ''")
     df = parts.groupBy("part").agg(F.countDistinct("file_path").alias("df"))
     rare = parts.join(df, "part").groupBy("file_path", "kind", "value").agg(F.sum(F.lit(1.0) / F.col("df")).alias("rarity"))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textquarry.functions import tokens as T
 
 RRF_K, FIRST, SECOND = 60, 0.05, 0.02
-#: Up to so many queries are broadcast; more are joined as Spark sees fit.
-QUERY_ROWS = 10_000
+#: So many queries go to every task in one pass over the points; about so many vectors of a set are in one block.
+QUERY_ROWS, BLOCK_ROWS = 10_000, 2000
 
 
 def _col(c: str | Column) -> Column:
@@ -46,27 +50,100 @@ def normalised(a: str | Column) -> Column:
 METRICS = {"cosine": (cosine, True), "dot": (dot, True), "euclid": (euclid, False)}
 
 
-def few(queries: DataFrame, most: int = QUERY_ROWS) -> DataFrame:
-    """The frame itself, or, if it has no more rows than that, its rows, computed once and marked for broadcast."""
-    rows = queries.limit(most + 1).collect()
-    return F.broadcast(queries.sparkSession.createDataFrame(rows, queries.schema)) if len(rows) <= most else queries
+def _matrix(vectors: list) -> np.ndarray:
+    return np.array([list(v) for v in vectors], np.float64).reshape(len(vectors), -1)
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id", where: Column | None = None) -> DataFrame:
-    """(query_id, key, score, rank): the k best points of each query, exactly; ties by key.
+def scores(metric: str, points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Points by queries, as cosine, dot and euclid say."""
+    if metric == "euclid":  # differences, not products: small distances stay exact
+        return np.stack([np.sqrt(((points - q) ** 2).sum(axis=1)) for q in queries], axis=1) if len(queries) else np.zeros((len(points), 0))
+    product = points @ queries.T
+    if metric == "cosine":
+        size = np.sqrt((points**2).sum(axis=1))[:, None] * np.sqrt((queries**2).sum(axis=1))
+        product = np.divide(product, size, out=np.zeros_like(product), where=size > 0)
+    return product
 
-    queries: (query_id, query_vector). Every point meets every query in a nested loop; each task keeps the k best of
-    each query before anything is shuffled, so k rows a query and task travel, never all pairs.
+
+def knn(points: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id", where: Column | None = None, apart: str | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the k best points of each query, exactly; scores count to nine places, ties by key.
+
+    queries: (query_id, query_vector). A block of at most QUERY_ROWS of them goes to every task, which multiplies batches
+    of points with all of it and keeps the k best of each query; so k rows a query and task are shuffled. More queries
+    make more passes. Points without a vector have no rank; nor have those whose column `apart` is the query's id.
     """
-    score, more = METRICS[metric]
-    held = points.where(where) if where is not None else points
-    pairs = held.select(F.col(key).alias("key"), F.col(vector).alias("v")).crossJoin(few(queries.select("query_id", "query_vector")))
-    scored = pairs.select("query_id", "key", score("v", "query_vector").alias("score"))
-    near = Window.partitionBy("query_id").orderBy(F.desc("score") if more else F.asc("score"), "key")
-    ranked = scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    more = METRICS[metric][1]
+    asked = queries.select("query_id", "query_vector").where(F.col("query_vector").isNotNull())
+    passes = max(1, -(-asked.count() // QUERY_ROWS))
+    held = points.where(F.col(vector).isNotNull() if where is None else where & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"), (F.col(apart) if apart else F.lit(None)).cast("string").alias("g"))
+    types = [asked.schema["query_id"].dataType, held.schema["key"].dataType]
+    kinds, arrow = [t.simpleString() for t in types], [to_arrow_type(t) for t in types]
+    found = None
+    for no in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(passes)) == no).collect()
+        shared = points.sparkSession.sparkContext.broadcast(([r[0] for r in rows], _matrix([r[1] for r in rows])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, block = shared.value
+            best: list[list[tuple]] = [[] for _ in names]
+            for batch in batches:
+                if not batch.num_rows or not names:
+                    continue
+                lists = batch.column(1)
+                rated = scores(metric, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1), block)
+                ranked = np.round(rated, 9) * (-1 if more else 1)
+                groups = np.array(batch.column(2).to_pylist(), object)
+                for q, name in enumerate(names):
+                    at = np.flatnonzero(groups != str(name))
+                    if at.size > k:  # all that tie with the k-th stay until keys decide
+                        column = ranked[at, q]
+                        at = at[column <= np.partition(column, k - 1)[k - 1]]
+                    column = ranked[:, q]
+                    keys = batch.column(0).take(pa.array(at)).to_pylist()
+                    best[q] = sorted([*best[q], *zip(column[at].tolist(), keys, rated[at, q].tolist())], key=lambda x: x[:2])[:k]
+            flat = [(n, x) for n, b in zip(names, best) for x in b]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in flat], arrow[0]), pa.array([x[1] for _, x in flat], arrow[1]), pa.array([x[2] for _, x in flat], pa.float64())], ["query_id", "key", "score"])
+
+        part = held.mapInArrow(run, f"query_id {kinds[0]}, key {kinds[1]}, score double")
+        found = part if found is None else found.unionByName(part)
+    near = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)) if more else F.asc(F.round("score", 9)), "key")
+    ranked = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
 
 
+def maxsim_of_sets(points: DataFrame, queries: DataFrame, *, vector: str = "embedding", key: str = "vec_id", group: str = "label", block: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, group, score): late interaction of each set of query vectors with each group of points.
+
+    queries: (query_id, key, query_vector), a stated set. Both sides are packed into blocks of about `block` vectors; each
+    pair of blocks is one matrix product, of which the best a query vector and group go on.
+    """
+
+    def packed(df: DataFrame, names: list[str], prefix: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        rows = df.groupBy(F.pmod(F.xxhash64(names[1], F.lit(5)), F.lit(n)).alias("no")).agg(F.collect_list(F.struct(*names)).alias("rows"))
+        return rows.select(*[F.col(f"rows.{x}").alias(prefix + str(i)) for i, x in enumerate(names)])
+
+    q = packed(queries.where(F.col("query_vector").isNotNull()), ["query_id", key, "query_vector"], "q")
+    p = packed(points.where(F.col(vector).isNotNull()), [group, key, vector], "p")
+    types = [queries.schema["query_id"].dataType, queries.schema[key].dataType, points.schema[group].dataType]
+    kinds, arrow = [t.simpleString() for t in types], [to_arrow_type(t) for t in types]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                product = _matrix(r["p2"]) @ _matrix(r["q2"]).T
+                labels = sorted(set(r["p0"]))
+                place = np.array([labels.index(x) for x in r["p0"]])
+                best = np.full((len(labels), product.shape[1]), -np.inf)
+                np.maximum.at(best, place, product)
+                ids, keys = np.repeat(np.arange(len(r["q0"])), len(labels)), labels * len(r["q0"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["q0"][i] for i in ids], arrow[0]), pa.array([r["q1"][i] for i in ids], arrow[1]), pa.array(keys, arrow[2]), pa.array(best.T.reshape(-1))], ["query_id", "q", "label", "d"])
+
+    pairs = q.crossJoin(p).repartition(F.xxhash64("q1", "p1"))  # blocks of vectors, each pair a task's work
+    best = pairs.mapInArrow(run, f"query_id {kinds[0]}, q {kinds[1]}, label {kinds[2]}, d double").groupBy("query_id", "q", "label").agg(F.max("d").alias("d"))
+    return best.groupBy("query_id", F.col("label").alias(group)).agg(F.sum("d").alias("score"))
+
+
 def maxsim(query_tokens: str | Column, doc_tokens: str | Column) -> Column:
     """Late interaction: for each query vector its best dot product with a vector of the document, added up."""
     return F.aggregate(F.transform(_col(query_tokens), lambda q: F.array_max(F.transform(_col(doc_tokens), lambda d: dot(q, d)))), F.lit(0.0), lambda s, x: s + x)
@@ -119,55 +196,6 @@ def keyword_blend(score: Column, overlap: Column, weight: float = 0.3) -> Column
     return score * (1.0 - weight) + overlap * weight
 
 
-STRONG = tuple("interface trait enum struct method function class".split())
-WEAK = tuple("property import variable data_key".split())
-
-
-def rescore(df: DataFrame, asked: list[str], *, weight: float = 0.3, rules: list[tuple[str | None, str | None, tuple[str, ...], str, float]] = ()) -> Column:
-    """The retrieval score after the payload terms, added and multiplied in a fixed order.
-
-    df: score, symbol_name, symbol_kind, file_path, keywords and, if there are, path_context, role. rules: (path suffix,
-    symbol, words one of which the query must have, '+' or '*', value) for a project's own files; none by default.
-    """
-    several = len(asked) >= 2
-    q = F.array(*[F.lit(w) for w in asked]) if asked else F.array().cast("array<string>")
-    kind, path = F.lower("symbol_kind"), F.lower(F.regexp_replace("file_path", r"\\", "/"))
-    name = F.lower("symbol_name")
-    s = F.col("score")
-    s = s * F.when(kind.isin(*STRONG), 1.12).when(kind.isin(*WEAK), 0.8 if several else 1.0).otherwise(1.0)
-    if several:
-        tests = not set(asked) & {"test", "tests", "spec"}
-        scripts = not set(asked) & {"script", "scripts", "benchmark"}
-        settings = not set(asked) & {"config", "settings", "configuration"}
-        for on, cond, factor in ((tests, path.rlike(r"(^|/)tests?/|(^|/)test_|_test\."), 0.3), (scripts, path.rlike(r"(^|/)scripts/"), 0.68), (settings, path.rlike(r"\.(json|toml|ya?ml|ini|cfg)$"), 0.82)):
-            if on:
-                s = s * F.when(cond, factor).otherwise(1.0)
-    s = keyword_blend(s, T.keyword_overlap(q, F.coalesce("keywords", F.array().cast("array<string>"))), weight)
-    context = T.path_tokens(F.col("path_context") if "path_context" in df.columns else F.col("file_path"))
-    s = s + T.keyword_coverage(q, context) * 0.1
-    if several:
-        s = s + F.size(F.array_intersect(q, T.path_tokens(F.substring_index(path, "/", -1)))) * 0.08
-    if "role" in df.columns:
-        s = s + F.when(F.col("role").isin("orchestration", "logic", "utility"), 0.04).when(F.col("role") == "entrypoint", 0.02).when(F.col("role").isin("test", "configuration"), -0.04).otherwise(0.0)
-    for suffix, symbol, words, op, value in rules:
-        if words and not set(words) & set(asked):
-            continue
-        hit = F.lit(True)
-        if suffix:
-            hit = hit & path.endswith(suffix.lower())
-        if symbol:
-            hit = hit & (name == symbol.lower())
-        s = s + F.when(hit, value).otherwise(0.0) if op == "+" else s * F.when(hit, value).otherwise(1.0)
-    if several:
-        s = s * F.when(name == "__init__", 0.55).otherwise(1.0)
-    s = s * F.when(kind.isin("class", "struct") & name.rlike("(result|item|config|stats|record)$"), 0.72).otherwise(1.0)
-    covered = T.keyword_coverage(q, T.identifier_tokens("symbol_name"))
-    s = s + covered * 0.18
-    if several:
-        s = s * F.when(covered >= 0.5, 1.12).when(kind.isin(*WEAK), 0.7).otherwise(1.0)
-    return s * F.when(name.isin("main", "entry", "_start", "init"), 0.92).otherwise(1.0)
-
-
 def payload_filter(*, language: str | None = None, path: str | None = None, prefix: str | None = None, kinds: list[str] | None = None) -> Column:
     """All of language, path and prefix must hold, and one of the kinds."""
     out = F.lit(True)
@@ -204,13 +232,24 @@ def structured_weights(parts: list[Part]) -> dict[int, float]:
     return {i: 2.0 if i == 0 else 1.0 for i in range(len(parts))}
 
 
-#: Presets of a search: keyword weight, whether results are diversified and reranked, how far candidates go.
+@dataclass(frozen=True)
+class Bias:
+    """A preset: vector space, weights of both spaces and of keywords, whether results are reranked, how many more are
+    returned."""
+
+    mode: str
+    weights: tuple[float, float]
+    keywords: float
+    rerank: bool
+    factor: float = 1.0
+
+
 BIAS = {
-    "precise": {"keyword_weight": 0.45, "diversify": False, "rerank": True, "candidates": 3},
-    "discovery": {"keyword_weight": 0.2, "diversify": True, "rerank": False, "candidates": 6},
-    "implementation": {"keyword_weight": 0.35, "diversify": True, "rerank": True, "candidates": 4},
-    "debug": {"keyword_weight": 0.4, "diversify": False, "rerank": True, "candidates": 5},
-    "planning": {"keyword_weight": 0.25, "diversify": True, "rerank": False, "candidates": 5},
+    "debug": Bias("hybrid", (0.6, 0.4), 0.4, True, 1.5),
+    "discovery": Bias("hybrid", (0.3, 0.7), 0.0, True, 2.0),
+    "implementation": Bias("hybrid", (0.7, 0.3), 0.3, False),
+    "planning": Bias("description", (0.0, 1.0), 0.0, True, 2.0),
+    "precise": Bias("code", (1.0, 0.0), 0.5, False),
 }
 
 

@@ -16,12 +16,11 @@ def link_extract(spark: SparkSession, folder: str) -> DataFrame:
     return G.links(table(spark, folder, "pages"))
 
 
-@query(f"WITH {LINKS} SELECT a.page_id, b.page_id AS other_id, count(DISTINCT href) AS shared FROM (SELECT DISTINCT page_id, href FROM l) a JOIN (SELECT DISTINCT page_id, href FROM l) b USING (href) WHERE a.page_id < b.page_id GROUP BY ALL HAVING count(DISTINCT href) >= 2")
+@query(f"WITH {LINKS} SELECT a.page_id, b.page_id AS other_id, count(DISTINCT href) AS shared FROM (SELECT DISTINCT page_id, href FROM l) a JOIN (SELECT DISTINCT page_id, href FROM l) b USING (href) WHERE a.page_id % 50 = 0 AND a.page_id <> b.page_id GROUP BY ALL HAVING count(DISTINCT href) >= 2")
 def link_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages that share two or more link targets."""
+    """Pages that share two or more link targets with one of the pages asked for: those whose id is divisible by 50."""
     links = G.links(table(spark, folder, "pages")).select("page_id", "href").distinct()
-    other = links.select(F.col("page_id").alias("other_id"), "href")
-    return links.join(other, "href").where("page_id < other_id").groupBy("page_id", "other_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    return G.sharing(links, links.where("page_id % 50 = 0"), least=2)
 
 
 @query(f"WITH {LINKS}, e AS (SELECT DISTINCT page_id::VARCHAR AS src, href AS dst FROM l), n AS (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM n GROUP BY node")

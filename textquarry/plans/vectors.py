@@ -33,8 +33,8 @@ COSINE, DOT, EUCLID = "list_cosine_similarity(v, w)", "list_dot_product(v, w)",
 SHOWN = " SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r"
 
 
-def _knn(spark: SparkSession, folder: str, metric: str, k: int = 10, where=None) -> DataFrame:
-    return V.knn(points(spark, folder), centroids(spark, folder), k, metric=metric, where=where)
+def _knn(spark: SparkSession, folder: str, metric: str, k: int = 10, **options) -> DataFrame:
+    return V.knn(points(spark, folder), centroids(spark, folder), k, metric=metric, **options)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -59,10 +59,7 @@ def knn_euclid(spark: SparkSession, folder: str) -> DataFrame:
 @query(knn_sql(COSINE, "DESC", 10, "label <> query_id") + SHOWN)
 def knn_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest points of other labels."""
-    q = centroids(spark, folder)
-    pairs = points(spark, folder).select("vec_id", "label", F.col("embedding").alias("v")).crossJoin(V.few(q)).where("label <> query_id")
-    scored = pairs.select("query_id", "vec_id", V.cosine("v", "query_vector").alias("score"))
-    return _shown(V.ranked(scored, key="vec_id").where("rank <= 10"))
+    return _shown(_knn(spark, folder, "cosine", apart="label"))
 
 
 LISTS = knn_sql(COSINE, "DESC", 30).replace(", r AS", ", a AS").replace("WITH ", "") + ", " + "sb AS (SELECT query_id, vec_id, label, " + EUCLID + " AS score FROM p, q), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), vec_id)::INTEGER AS rank FROM sb QUALIFY rank <= 30)"
@@ -116,11 +113,10 @@ def rerank_blend(spark: SparkSession, folder: str) -> DataFrame:
     return V.rerank_blend(rated, key="vec_id").select("query_id", "vec_id", F.round("blended", 6).alias("blended"))
 
 
-@query(f"""WITH {CENTROIDS}, pairs AS (SELECT a.query_id, b.label, a.vec, b.vec_id, list_dot_product(a.v, b.v) AS d FROM (SELECT label AS query_id, vec_id AS vec, v FROM p) a JOIN p b ON TRUE),
+@query(f"""WITH {CENTROIDS}, pairs AS (SELECT a.query_id, b.label, a.vec, b.vec_id, list_dot_product(a.v, b.v) AS d FROM (SELECT label AS query_id, vec_id AS vec, v FROM p WHERE vec_id % 50 = 0) a JOIN p b ON TRUE),
 best AS (SELECT query_id, vec, label, max(d) AS d FROM pairs GROUP BY ALL) SELECT query_id, label, round(sum(d), 5) AS score FROM best GROUP BY ALL""")
 def maxsim_by_label(spark: SparkSession, folder: str) -> DataFrame:
-    """Late interaction between the sets of vectors of all labels: one aggregate a pair, no array of all vectors."""
+    """Late interaction of the query vectors of each label (every row whose id is divisible by 50) with all labels."""
     p = points(spark, folder)
-    a = p.select(F.col("label").alias("query_id"), F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    best = a.crossJoin(p.select("label", "embedding")).groupBy("query_id", "q", "label").agg(F.max(V.dot("qv", "embedding")).alias("d"))
-    return best.groupBy("query_id", "label").agg(F.round(F.sum("d"), 5).alias("score"))
+    q = p.where("vec_id % 50 = 0").select(F.col("label").alias("query_id"), "vec_id", F.col("embedding").alias("query_vector"))
+    return V.maxsim_of_sets(p, q).withColumn("score", F.round("score", 5))

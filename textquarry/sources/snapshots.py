@@ -82,18 +82,22 @@ class Snapshots:
         """Makes it current and deletes older versions but the last `keep`; returns those deleted."""
         if version not in self.versions():
             raise FileNotFoundError(self.path(version))
-        self._text(f"{self.folder}/_CURRENT.new", str(version))
-        options = self._jvm.org.apache.hadoop.fs.Options.Rename
-        array = self.spark.sparkContext._gateway.new_array(options, 1)
-        array[0] = options.OVERWRITE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri() if "://" in self.folder else self._fs.getUri())
-        context.rename(self._path(f"{self.folder}/_CURRENT.new"), self._path(f"{self.folder}/CURRENT"), array)
+        self.move("CURRENT", str(version))
         old = [v for v in self.versions() if v < version]
         gone = old[: len(old) - (keep - 1)] if keep > 1 else old
         for v in gone:
             self._fs.delete(self._path(f"{self.folder}/v{v}"), True)
         return gone
 
+    def move(self, name: str, text: str) -> None:
+        """Puts a file in place by a rename."""
+        self._text(f"{self.folder}/_{name}.new", text)
+        options = self._jvm.org.apache.hadoop.fs.Options.Rename
+        array = self.spark.sparkContext._gateway.new_array(options, 1)
+        array[0] = options.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri() if "://" in self.folder else self._fs.getUri())
+        context.rename(self._path(f"{self.folder}/_{name}.new"), self._path(f"{self.folder}/{name}"), array)
+
     def replace(self, df: DataFrame, **settings) -> int:
         version = self.write(df, **settings)
         self.commit(version)
@@ -129,6 +133,55 @@ class Snapshots:
         return self.read().groupBy("file_path").agg(F.min("file_hash").alias("file_hash"), F.count(F.lit(1)).alias("point_count"))
 
 
+    def chunks_of(self, files: list[str]) -> DataFrame:
+        """The points of some files, by file and place."""
+        return self.read().where(F.col("file_path").isin(*files)).orderBy("file_path", "line_start")
+
+
+def collections(spark: SparkSession, store: str) -> list[dict]:
+    """The datasets below a folder that have a current version: name, current version, versions."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()) if fs.exists(path) else []
+    found = [(n, Snapshots(spark, f"{store.rstrip('/')}/{n}")) for n in names]
+    return [{"name": n, "current": d.current(), "versions": d.versions()} for n, d in found if d.current() is not None]
+
+
+class Manifest:
+    """One file that names the current versions of several datasets: readers see all of one state or all of another.
+
+    A new state is put in place by one rename. Versions of the state before it are kept for those who still read them;
+    older ones are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, store: str):
+        self.spark, self.store = spark, store.rstrip("/")
+        self._one = Snapshots(spark, self.store)
+
+    def _states(self) -> list[dict[str, int]]:
+        at = self._one._path(f"{self.store}/MANIFEST")
+        if not self._one._fs.exists(at):
+            return []
+        stream = self._one._fs.open(at)
+        try:
+            return json.loads(self._one._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def read(self) -> dict[str, int]:
+        return next(iter(self._states()), {})
+
+    def write(self, versions: dict[str, int]) -> None:
+        states = [versions, *self._states()[:1]]
+        self._one.move("MANIFEST", json.dumps(states))
+        for name in versions:
+            data = Snapshots(self.spark, f"{self.store}/{name}")
+            for old in data.versions():
+                if old < min(x[name] for x in states if name in x):
+                    data._fs.delete(data._path(f"{data.folder}/v{old}"), True)
+
+
 def fingerprint(settings: dict, schema_version: int = 1) -> str:
     """A name for a configuration, to keep indexes of different ones apart."""
     import hashlib

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +56,67 @@ def progress(query: StreamingQuery) -> dict:
     """Stage and counts of a running operation."""
     last = query.lastProgress
     return {"id": str(query.id), "active": query.isActive, "status": query.status["message"], "batch": last["batchId"] if last else None, "rows": last["numInputRows"] if last else 0}
+
+
+@dataclass
+class Operation:
+    """A run in the background: queued, running, completed or failed."""
+
+    id: str
+    kind: str
+    path: str
+    project: str
+    status: str = "queued"
+    stage: str = "queued"
+    result: dict | None = None
+    error: str | None = None
+    started: float | None = None
+    finished: float | None = None
+
+
+class Operations:
+    """Runs by id; a second start of the same kind for the same project and path joins the one under way."""
+
+    def __init__(self, most: int = 128):
+        self._lock, self._all, self._active, self._most = threading.Lock(), {}, {}, most
+        self._threads: dict[str, threading.Thread] = {}
+
+    def start(self, kind: str, path: str, project: str, work: Callable[[Callable[[str], None]], dict]) -> tuple[Operation, bool]:
+        """The operation, and whether it was under way already. work is called with a function that names its stage."""
+        key = (kind, project, path.replace("\\", "/").lower())
+        with self._lock:
+            if key in self._active:
+                return self._active[key], True
+            op = Operation(uuid.uuid4().hex[:12], kind, path, project)
+            self._all[op.id] = self._active[key] = op
+            for old in [o for o in self._all.values() if o.finished][: max(0, len(self._all) - self._most)]:
+                del self._all[old.id]
+
+        def run() -> None:
+            op.status, op.started = "running", time.time()
+            try:
+                op.result = work(lambda stage: setattr(op, "stage", stage))
+                op.status = op.stage = "completed"
+            except Exception as e:  # told to whoever asks
+                op.status, op.stage, op.error = "failed", "failed", str(e)
+            finally:
+                op.finished = time.time()
+                with self._lock:
+                    self._active.pop(key, None)
+
+        self._threads[op.id] = threading.Thread(target=run, daemon=True)
+        self._threads[op.id].start()
+        return op, False
+
+    def get(self, id: str) -> Operation | None:
+        return self._all.get(id)
+
+    def listed(self, active: bool = False, limit: int = 20) -> list[Operation]:
+        """The newest first."""
+        found = [o for o in reversed(list(self._all.values())) if not active or o.status in ("queued", "running")]
+        return found[:limit]
+
+    def wait(self, id: str, seconds: float | None = None) -> Operation | None:
+        if id in self._threads:
+            self._threads[id].join(seconds)
+        return self.get(id)
