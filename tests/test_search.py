@@ -173,17 +173,17 @@ SCHEMA = "symbol_name string, symbol_kind string, file_path string, keywords arr
 )
 def test_rescoring_terms(spark, asked, changed, want):
     rows = spark.createDataFrame([tuple((POINT | changed).values())], SCHEMA)
-    assert rows.select(B.rescore(rows, asked)).first()[0] == pytest.approx(want)
+    assert B.rescore(rows, asked).first().score == pytest.approx(want)
 
 
 def test_rescore_and_filters(spark):
     rows = spark.createDataFrame([("login", "function", "src/auth.py", ["auth", "login"], 0.5), ("login", "variable", "tests/test_auth.py", ["auth"], 0.5)], "symbol_name string, symbol_kind string, file_path string, keywords array<string>, score double")
-    a, b = (r[0] for r in rows.select(B.rescore(rows, ["auth", "login"])).collect())
+    a, b = (r.score for r in B.rescore(rows, ["auth", "login"]).collect())
     assert a > b > 0
     rule = B.Rule(0.5, ("lib/auth.py", "src/auth.py"), ("login",), (frozenset({"auth"}),), frozenset({"other"}), adds=False)
-    up = rows.select(B.rescore(rows, ["auth", "login"], rules=[rule])).collect()
-    assert up[0][0] < a and up[1][0] == pytest.approx(b)
-    assert rows.select(B.rescore(rows, ["login", "other"], rules=[rule])).collect() == rows.select(B.rescore(rows, ["login", "other"])).collect()
+    up = [r.score for r in B.rescore(rows, ["auth", "login"], rules=[rule]).collect()]
+    assert up[0] < a and up[1] == pytest.approx(b)
+    assert B.rescore(rows, ["login", "other"], rules=[rule]).collect() == B.rescore(rows, ["login", "other"]).collect()
     p = rows.withColumn("path_prefixes", F.array(F.lit("src"), F.lit("src/auth.py"))).withColumn("language", F.lit("python"))
     assert p.where(V.payload_filter(language="python", prefix="src", kinds=["function"])).count() == 1
 

@@ -50,17 +50,40 @@ class Point:
     symbol_tokens: Column
     path_tokens: Column
     base_tokens: Column
+    name_tokens: Column
 
 
 #: A term of one question: None where it can't matter, else a column of the point.
 Term = Callable[[Point, frozenset[str]], Column | None]
 
 
+TOKENS, METADATA = "_rescore_tokens", "_rescore_metadata"
+
+
+def _text(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")
+
+
+def _path(df: DataFrame) -> Column:
+    return F.regexp_replace(_text(df, "file_path"), r"\\", "/")
+
+
+def _tokenised(parts: list[tuple[Column, int]]) -> Column:
+    """Of texts their first tokens, an array each: one expression for all."""
+    rows = F.array(*[F.struct(t.alias("t"), F.lit(n).alias("n")) for t, n in parts])
+    return F.transform(rows, lambda r: T.identifier_tokens(r["t"], r["n"]))
+
+
 def _point(df: DataFrame) -> Point:
-    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
-    path = F.regexp_replace(text("file_path"), r"\\", "/")
-    base = F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
-    return Point(F.lower(text("symbol_kind")), text("symbol_name"), F.lower(text("symbol_name")), F.lower(path), F.lower(text("role")), T.identifier_tokens(F.concat_ws(" ", text("symbol_name"), text("signature")), 24), T.identifier_tokens(F.lower(path), 12), T.identifier_tokens(base, 6))
+    tokens = [F.col(TOKENS)[i] for i in range(4)]
+    return Point(F.lower(_text(df, "symbol_kind")), _text(df, "symbol_name"), F.lower(_text(df, "symbol_name")), F.lower(_path(df)), F.lower(_text(df, "role")), *tokens)
+
+
+def _with_tokens(df: DataFrame) -> DataFrame:
+    """df with what the terms look at more than once, computed once."""
+    base = F.regexp_replace(F.substring_index(_path(df), "/", -1), r"(?<=.)\.[^.]*$", "")
+    parts = [(F.concat_ws(" ", _text(df, "symbol_name"), _text(df, "signature")), 24), (F.lower(_path(df)), 12), (base, 6), (_text(df, "symbol_name"), 8)]
+    return df.withColumns({TOKENS: _tokenised(parts), METADATA: metadata_tokens(df)})
 
 
 def _hits(tokens: Column, words: frozenset[str]) -> Column:
@@ -90,7 +113,7 @@ def providers(p: Point, q: frozenset[str]) -> Column | None:
 
 def graph_words(p: Point, q: frozenset[str]) -> Column | None:
     """Files and symbols about imports or calls in questions about them."""
-    both = F.array_union(p.path_tokens, F.slice(T.identifier_tokens(p.name), 1, 8))
+    both = F.array_union(p.path_tokens, p.name_tokens)
     out = (_hits(both, IMPORT_TOKENS) * 0.025 if q & IMPORTING else F.lit(0.0)) + (_hits(both, CALL_TOKENS) * 0.02 if q & CALLING else F.lit(0.0))
     return out if q & (IMPORTING | CALLING) else None
 
@@ -132,17 +155,16 @@ FACTORS: tuple[Term, ...] = (foreign_subsystem, ranking_helper, startup_import,
 def metadata_tokens(df: DataFrame) -> Column:
     """The first 48 tokens of a point: of its paths, names, kind, role, parent and signature, its keywords and the keywords
     of its description and docstring."""
-    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
-    named = [T.identifier_tokens(text(c), n) for c, n in (("file_path", 12), ("path_context", 12), ("symbol_name", 8), ("symbol_kind", 4), ("role", 4), ("parent", 8), ("signature", 12))]
+    named = F.flatten(_tokenised([(_text(df, c), n) for c, n in (("file_path", 12), ("path_context", 12), ("symbol_name", 8), ("symbol_kind", 4), ("role", 4), ("parent", 8), ("signature", 12))]))
     none = F.array().cast("array<string>")
-    keywords = F.flatten(F.transform(F.coalesce(F.col("keywords"), none) if "keywords" in df.columns else none, T.variants))
-    told = F.flatten(F.transform(T.keywords(F.concat_ws("\n", text("description"), text("docstring")), 20), T.variants))
-    return F.slice(F.array_distinct(F.concat(*named, keywords, told)), 1, 48)
+    given = F.coalesce(F.col("keywords"), none) if "keywords" in df.columns else none
+    told = T.keywords(F.concat_ws("\n", _text(df, "description"), _text(df, "docstring")), 20)
+    return F.slice(F.array_distinct(F.concat(named, F.flatten(F.transform(F.concat(given, told), T.variants)))), 1, 48)
 
 
-def rescore(df: DataFrame, asked: Sequence[str], *, weight: float = 0.3, rules: Sequence[Rule] = ()) -> Column:
-    """The score of rows (score, symbol_name, symbol_kind, file_path, keywords and, if there are, path_context, role,
-    signature, parent, description, docstring) for a question of these keywords.
+def rescore(df: DataFrame, asked: Sequence[str], *, weight: float = 0.3, rules: Sequence[Rule] = ()) -> DataFrame:
+    """The rows with their score after the terms. Rows: (score, symbol_name, symbol_kind, file_path, keywords and, if there are, path_context, role,
+    signature, parent, description, docstring); asked: the keywords of the question.
 
     In this order: blend with shared keywords; a tenth of the coverage by the path's context; kind; path; BONUSES and
     rules that add; FACTORS and rules that multiply; symbol words; all words of the point; names that mean nothing.
@@ -150,6 +172,7 @@ def rescore(df: DataFrame, asked: Sequence[str], *, weight: float = 0.3, rules:
     words = frozenset(asked)
     none = F.array().cast("array<string>")
     q = F.array(*[F.lit(w) for w in dict.fromkeys(asked)]) if asked else none
+    df, columns = _with_tokens(df) if asked else df.withColumn(TOKENS, F.lit(None).cast("array<array<string>>")), df.columns
     p, s = _point(df), F.col("score")
     if asked and "keywords" in df.columns:
         held = F.coalesce(F.col("keywords"), none)
@@ -179,18 +202,18 @@ def rescore(df: DataFrame, asked: Sequence[str], *, weight: float = 0.3, rules:
             if cond is not None:
                 s = s + F.when(cond, rule.value).otherwise(0.0) if adds else s * F.when(cond, rule.value).otherwise(1.0)
     if not asked:
-        return s
+        return df.withColumn("score", s).select(*columns)
     covered, several = T.keyword_coverage(q, p.symbol_tokens), len(asked) >= 2
     s = s + covered * 0.18
     if words & ACTIONS:
         s = s + _hits(p.symbol_tokens, words & ACTIONS) * 0.08
     if several:
         s = s * F.when(covered >= 0.5, 1.12).when(p.kind.isin(*WEAK), 0.7).otherwise(1.0)
-    told = T.keyword_coverage(q, metadata_tokens(df))
+    told = T.keyword_coverage(q, F.col(METADATA))
     s = s + told * 0.16
     if len(asked) >= 3:
         s = s * F.when(told >= 0.45, 1.08).otherwise(1.0)
     if several:
         plain = p.low_name.isin("main", "entry", "_start", "init") & ~F.exists(q, lambda w: p.low_name.contains(w))
         s = s * F.when(plain, 0.92).otherwise(1.0)
-    return s
+    return df.withColumn("score", s).select(*columns)

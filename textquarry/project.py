@@ -268,7 +268,7 @@ class Project:
         q = self.spark.createDataFrame([(0, self.embed_query(text))], "query_id int, query_vector array<float>")
         near = V.knn(self.table("points"), q, V.overfetch(limit, len(words), hybrid=True), vector=vector, key="chunk_id", where=cond)
         rows = near.join(self.table("points").drop("code", "description_vec", "source"), "chunk_id")
-        rated = rows.withColumn("score", B.rescore(rows, words, rules=self.rules, weight=V.BIAS[bias].keywords if bias else weight))
+        rated = B.rescore(rows, words, rules=self.rules, weight=V.BIAS[bias].keywords if bias else weight)
         return V.ranked(rated, key="chunk_id")
 
     def semantic_search(self, text: str, *, limit: int = 5, mode: str = "hybrid", language: str | None = None, path_prefix: str | None = None, kinds: list[str] | None = None, keyword_weight: float = 0.3, bias: str | None = None, include_source: bool = True) -> DataFrame:
