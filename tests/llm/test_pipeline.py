@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import os
 from collections import Counter
 
 import pytest
@@ -10,7 +13,8 @@ from pyspark.sql import functions as F
 from test_operators import DOCS, docs, prose
 
 import corpus_pipeline
-from textquarry.llm import sharding
+from textquarry.llm import mixing, sharding
+from textquarry.llm.common import shared_folder
 
 WORDS = "the of and with that in for was which there their have been said"
 
@@ -66,9 +70,58 @@ def test_run_gives_what_the_stages_give(spark, folder):
     assert Counter(map(tuple, corpus_pipeline.run(spark, folder).collect())) == Counter(map(tuple, now.collect()))
 
 
+def test_run_leaves_only_its_result(spark, folder):
+    def written() -> set[str]:
+        return {x for x in os.listdir(shared_folder(spark)) if os.listdir(f"{shared_folder(spark)}/{x}")}
+
+    before = written()
+    out = corpus_pipeline.run(spark, folder)
+    (left,) = written() - before
+    assert out.count() > 0 and [x for x in os.listdir(f"{shared_folder(spark)}/{left}") if not x.startswith(".")] == [str(len(corpus_pipeline.STAGES))]
+
+
+def test_mix_and_shard_stages_by_hand(spark, folder):
+    """Copies and shards of every row as plain Python computes them."""
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    docs_ = rows.collect()
+
+    def unit(*parts: str) -> float:
+        return (int(hashlib.md5("|".join(parts).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    sizes = Counter()
+    for r in docs_:
+        sizes[r.source] += len(r.text or "")
+    weights = {s: mixing.WEIGHTS.get(s, mixing.DEFAULT_WEIGHT) for s in sizes if sizes[s]}
+    total, clamped, cap = mixing.BUDGET * sum(sizes.values()), set(), mixing.MAX_EPOCHS
+    while True:
+        free = [s for s in weights if s not in clamped]
+        left = total - sum(cap * sizes[s] for s in clamped)
+        epochs = {s: left * weights[s] / sum(weights[x] for x in free) / sizes[s] for s in free}
+        over = {s for s in free if epochs[s] > cap}
+        if not over:
+            break
+        clamped |= over
+    epochs |= dict.fromkeys(clamped, cap) | {s: 1.0 for s in sizes if not sizes[s]}
+    name = lambda r: "\\N" if r.doc_id is None else str(r.doc_id)
+    want = Counter()
+    for r in docs_:
+        n = int(epochs[r.source]) + (unit(str(mixing.SEED), name(r)) < epochs[r.source] % 1)
+        want[tuple(r)] += n
+    assert Counter(map(tuple, stages["mix"](spark, rows, folder).collect())) == +want
+    best = lambda r: min((-math.log(unit("0", str(k), name(r))) / w, k) for k, w in sharding.SHARDS.items())[1]
+    assert Counter(map(tuple, stages["shard"](spark, rows, folder).collect())) == Counter((*r, best(r)) for r in docs_)
+
+
+#: Rows that each stage keeps of the awkward table below, by number of the row.
+AWKWARD = {"language_id": {3}, "near_dedup": {0, 1, 2, 3}, "decontaminate": {0, 1, 2, 3}, "mix": {0, 1, 2, 3}, "shard": {0, 1, 2, 3}}
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stage_on_empty_and_awkward_tables(spark, folder, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, spark.createDataFrame([], DOCS), folder).collect() == []
-    nulls = spark.createDataFrame([(None,) * 5] * 2 + [(1, "", None, None, None), (2, prose(1, 50_000), "en", None, None)], DOCS)
-    assert stage(spark, nulls.withColumn("cid", F.lit(1)).withColumn("shard", F.lit(2)), folder).count() >= 0
+    rows = [(None,) * 5] * 2 + [(1, "", None, None, None), (2, prose(1, 50_000), "en", None, None)]
+    out = stage(spark, spark.createDataFrame(rows, DOCS).withColumn("cid", F.lit(1)).withColumn("shard", F.lit(2)), folder)
+    found = out.drop("shard", "cid").collect()
+    assert Counter(map(tuple, found)) == Counter(rows[i] for i in AWKWARD[name]) and "cid" in out.columns and "shard" in out.columns

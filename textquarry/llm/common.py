@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ BITMAP_BITS = 1 << 26
 #: both sides of the pipe.
 BATCH_ROWS, SPARK_BATCH_ROWS = 1000, "10000"
 _own: dict[str, str] = {}
+_scopes: list[list[Tables]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +47,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        for scope in _scopes[-1:]:
+            scope.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -59,6 +63,19 @@ class Tables:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes at its end what operators called inside have written; by then their results have to be written elsewhere."""
+    made: list[Tables] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for tables in made:
+            tables.drop()
+
+
 def small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcast if its counted size allows. df should be a written table, as it is counted."""
     return F.broadcast(df) if df.count() * row_bytes <= most else df
