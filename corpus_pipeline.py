@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textquarry.llm import decontaminate, langid, mixing, near_dedup, sharding
-from textquarry.llm.common import Tables
+from textquarry.llm.common import Tables, temporary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is a written table, read by the next stage.
 
+    What a stage has written for itself is deleted when its result stands, a stage's result when the next one's does.
     Nulls, empty and long texts, repeated rows, empty tables and extra columns: as each stage's operator says.
     """
     tables = Tables(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = tables.write(stage(spark, docs, sf_dir))
+    for number, (_, stage) in enumerate(STAGES):
+        with temporary():
+            docs = tables.write(stage(spark, docs, sf_dir))
+        if number:
+            tables.drop(number)
     return docs
