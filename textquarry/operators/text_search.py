@@ -73,13 +73,22 @@ def matched_coverage(matched: Column, terms: list[str]) -> Column:
 
 def snippet(text: Column, matched: Column, around: int = 3) -> Column:
     """struct(snippet, line_start, line_end): the lines about the first one that holds a matched term (else the first)."""
-    lines = F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n")
-    flags = F.transform(lines, lambda x: F.exists(matched, lambda t: F.lower(x).contains(t)))
-    first = F.greatest(F.array_position(flags, F.lit(True)), F.lit(1))
-    start = F.greatest(first - around, F.lit(1)).cast("int")
-    end = F.least(first + around, F.size(lines)).cast("int")
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  (binds what is used more than once)
+    clean = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    places = lambda low: F.filter(F.transform(matched, lambda t: F.instr(low, t)), lambda i: i > 0)
+    # the first hit in the text tells the line: by the line ends before it
+    head = lambda plain: once(F.lower(plain), lambda low: F.substring(low, F.lit(1), F.array_min(places(low)) - 1))
+    line = lambda plain: F.coalesce(once(head(plain), lambda h: F.length(h) - F.length(F.replace(h, F.lit("\n"), F.lit(""))) + 1), F.lit(1))
+    lines = lambda plain: F.split(F.when(plain.endswith("\n"), F.substring(plain, F.lit(1), F.length(plain) - 1)).otherwise(plain), "\n")
+    found = once(clean, lambda plain: F.struct(lines(plain).alias("ls"), line(plain).alias("n")))
+
+    def cut(x: Column) -> Column:
+        first = F.least(x["n"], F.size(x["ls"]))
+        start, end = F.greatest(first - around, F.lit(1)).cast("int"), F.least(first + around, F.size(x["ls"])).cast("int")
+        return F.struct(F.array_join(F.slice(x["ls"], start, end - start + 1), "\n").alias("snippet"), start.alias("line_start"), end.alias("line_end"))
+
     none = (F.length(text) == 0) | (F.size(matched) == 0)
-    return F.when(none, F.struct(F.lit("").alias("snippet"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"))).otherwise(F.struct(F.array_join(F.slice(lines, start, end - start + 1), "\n").alias("snippet"), start.alias("line_start"), end.alias("line_end")))
+    return F.when(none, F.struct(F.lit("").alias("snippet"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"))).otherwise(once(found, cut))
 
 
 def search(files: DataFrame, index: I.TextIndex, text: str, *, limit: int = 10, intent_mode: bool = False, intent_level: int = 2, key: str = "doc", body: str = "text") -> DataFrame:
