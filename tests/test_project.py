@@ -61,3 +61,15 @@ def test_refresh(project):
     assert project.symbol_lookup("extra_helper").first().file_path == "app/extra.py" and project.info()["files"] == 4
     assert project.text_search("extra helper").first().path == "app/extra.py" and project.text_search("signs").collect() == []
     assert project.cache_status() == {"cached": 4, "unchanged": 4}
+
+
+def test_contexts(project):
+    """Each way of answering gives rows, with what stands beside them."""
+    semantic = project.retrieve_context("who imports the store", limit=2)
+    assert semantic.mode == "semantic" and semantic.results.count() == 2 and "file_path" in semantic.related.columns
+    text = project.text_context("database table key query", limit=1)
+    assert text.mode == "text" and text.results.first().file_path == "app/store.py" and "app/login.py" in {r.file_path for r in text.related.collect()}
+    anchors, _ = project.semantic_bundle("query database table key", anchors=1)
+    assert anchors.count() == 1
+    symbol = project.retrieve_context("how does `query_database` work", limit=3)
+    assert symbol.mode == "symbol" and symbol.results.first().name == "query_database"
