@@ -66,6 +66,22 @@ def test_index_round_trip(spark, index, tmp_path):
     assert sorted(map(tuple, again.postings.collect())) == sorted(map(tuple, index.postings.collect()))
 
 
+def test_index_tasks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(I, "PART_BYTES", 4000, raising=False)
+    rows = spark.range(400).select(F.col("id").alias("doc"), F.lit(f"a/{'b' * 60}.txt").alias("path"), F.lit("en").alias("language"), F.concat(F.repeat(F.lit("word "), 40), "id").alias("text"))
+    index = I.build(rows, whole=True)
+    for postings in (index.postings, index.path_postings):
+        held = postings.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("doc").alias("n")).collect()
+        assert sum(r.n for r in held) == 400 and max(r.n for r in held) < 100
+    assert index.docs.agg(F.sum("doc_len")).first()[0] == 400 * 40 + 390  # numbers of one digit are no token
+
+
+def test_index_of_nothing(spark):
+    none = spark.createDataFrame([(1, "a", "x", None)], "doc long, path string, language string, text string")
+    assert I.build(none).postings.count() == 0 and I.build(none.limit(0), whole=True).docs.count() == 0
+    assert [tuple(r) for r in I.build(none, whole=True).docs.select("doc", "doc_len").collect()] == [(1, 0)]
+
+
 def test_index_leaves_out(spark):
     rows = spark.createDataFrame([(1, "a", "x", "nul\x00"), (2, "b", "x", None), (3, "c", "x", "fine")], "doc long, path string, language string, text string")
     assert [r.doc for r in I.build(rows).docs.collect()] == [3]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from textquarry.functions import tokens as T
 
 K1, B, PATH_WEIGHT, BASENAME_COPIES, MAX_BYTES = 1.5, 0.5, 0.5, 4, 2 << 20
+#: About so many bytes of text are tokenised in one task, whatever shuffle partitions are set or joined at run time.
+PART_BYTES = 8 << 20
 
 
 @dataclass
@@ -34,13 +36,19 @@ def read(spark, folder: str) -> TextIndex:
     return TextIndex(*[spark.read.parquet(f"{folder}/{n}") for n in ("docs", "postings", "path_postings")])
 
 
-def term_counts(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, doc, tf): each document's words are counted, then each different one is tokenised once.
+def parts(df: DataFrame, size: int, most: int) -> int:
+    """Into how many partitions to put `size`: no more than about `most` in one, and all cores busy from an eighth of it on."""
+    return max(1, -(-size // most), min(df.sparkSession.sparkContext.defaultParallelism, size * 8 // most))
+
+
+def term_counts(rows: DataFrame, key: str, text: Column, size: int) -> DataFrame:
+    """(term, doc, tf): each document's words are counted, then each different one is tokenised once. size: bytes of all texts.
 
     Rows are brought together by document before words are made of them; counting words and terms then needs no further
-    shuffle, and no more than the texts themselves travels.
+    shuffle, and no more than the texts themselves travels. The number of partitions is stated, as a task holds many times
+    its bytes of text and adaptive execution would join partitions by those.
     """
-    held = rows.select(F.col(key).alias("doc"), text.alias("text")).repartition("doc")
+    held = rows.select(F.col(key).alias("doc"), text.alias("text")).repartition(parts(rows, size, PART_BYTES), "doc")
     words = held.select("doc", F.explode(T.raw_words("text")).alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
     found = words.select("doc", "n", F.explode(T.word_tokens("word")).alias("term"))
     return found.groupBy("doc", "term").agg(F.sum("n").alias("tf")).select("term", "doc", "tf")
@@ -60,12 +68,13 @@ def measured(docs: DataFrame, postings: DataFrame, path_postings: DataFrame) ->
 
 def build(files: DataFrame, *, key: str = "doc", path: str = "path", text: str = "text", language: str = "language", whole: bool = False) -> TextIndex:
     """Index of files. Texts over 2 MiB or with a NUL character, and null ones, are left out, unless the whole table is
-    asked for; the base name counts four times more. Nothing is computed yet: write it, and read what was written."""
+    asked for; the base name counts four times more. Only bytes are added up yet: write it, and read what was written."""
     ok = files if whole else files.where((F.octet_length(text) <= MAX_BYTES) & ~F.col(text).contains("\x00"))
-    postings = term_counts(ok, key, F.col(text))
     name = F.substring_index(F.col(path), "/", -1)
     weighed = F.concat_ws(" ", F.col(path), *[name] * BASENAME_COPIES)
-    path_postings = term_counts(ok, key, weighed)
+    sizes = ok.agg(F.sum(F.octet_length(text)), F.sum(F.octet_length(weighed))).first()
+    postings = term_counts(ok, key, F.col(text), sizes[0] or 0)
+    path_postings = term_counts(ok, key, weighed, sizes[1] or 0)
     docs = ok.select(F.col(key).alias("doc"), F.col(path).alias("path"), F.col(language).alias("language"))
     return TextIndex(measured(docs, postings, path_postings), postings, path_postings)
 
