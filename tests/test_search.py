@@ -76,6 +76,22 @@ def test_index_tasks_are_bounded_by_bytes(spark, monkeypatch):
     assert index.docs.agg(F.sum("doc_len")).first()[0] == 400 * 40 + 390  # numbers of one digit are no token
 
 
+def test_scores_of_a_table_of_queries_are_bounded(spark, monkeypatch):
+    rows = spark.range(400).select(F.col("id").alias("doc"), F.lit("a").alias("path"), F.lit("en").alias("language"), F.concat(F.lit("alpha beta "), F.repeat(F.lit("gamma "), (F.col("id") % 7).cast("int"))).alias("text"))
+    index = I.build(rows, whole=True)
+    queries = spark.range(20).select(F.concat(F.lit("q"), "id").alias("query"), F.posexplode(F.split(F.lit("alpha gamma zeta"), " ")).alias("pos", "term"))
+    want = {(r.query, r.doc): r.score for r in I.bm25(index, queries, paths=False).collect()}
+    assert len(want) == 8000
+    for rows_at_once in (200_000, 0):  # the queries broadcast, and joined by term
+        monkeypatch.setattr(I, "PAIRS", 500, raising=False)
+        monkeypatch.setattr(I, "QUERY_TERMS", rows_at_once, raising=False)
+        found = I.bm25(index, queries, paths=False)
+        assert {(r.query, r.doc): r.score for r in found.collect()} == pytest.approx(want)
+        assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 1500
+    both = {(r.query, r.doc): tuple(r.matched) for r in I.bm25(index, queries).collect()}
+    assert len(both) == 8000 and set(both.values()) == {("alpha",), ("alpha", "gamma")}
+
+
 def test_index_of_nothing(spark):
     none = spark.createDataFrame([(1, "a", "x", None)], "doc long, path string, language string, text string")
     assert I.build(none).postings.count() == 0 and I.build(none.limit(0), whole=True).docs.count() == 0

@@ -13,6 +13,8 @@ from textquarry.functions import tokens as T
 K1, B, PATH_WEIGHT, BASENAME_COPIES, MAX_BYTES = 1.5, 0.5, 0.5, 4, 2 << 20
 #: About so many bytes of text are tokenised in one task, whatever shuffle partitions are set or joined at run time.
 PART_BYTES = 8 << 20
+#: Scores of a table of queries in one task; rows (query, term) of such a table that are broadcast.
+PAIRS, QUERY_TERMS = 500_000, 200_000
 
 
 @dataclass
@@ -87,28 +89,45 @@ def tf_norm(tf: Column, size: Column, mean: Column) -> Column:
     return tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * (F.greatest(size, F.lit(1)) / mean)))
 
 
-def _scores(postings: DataFrame, docs: DataFrame, length: str, queries: DataFrame, terms: Sequence[str] | None) -> DataFrame:
-    """(query, doc, pos, term, score) of one field. Only postings of query terms are read on; df is counted on those."""
+def _scores(postings: DataFrame, docs: DataFrame, length: str, queries: DataFrame, terms: Sequence[str] | None, size: tuple[int, bool] | None) -> DataFrame:
+    """(query, doc, pos, term, score) of one field. Only postings of query terms are read on; df is counted on those.
+
+    size: into how many partitions by document to put the rows of a table of queries, and whether that table is broadcast.
+    Then all scores of a document are in one task, and adding them up needs no shuffle of them.
+    """
     few = terms is not None
-    hint = F.broadcast if few else lambda x: x
-    hits = postings.where(F.col("term").isin(*terms)) if few else postings.join(queries.select("term").distinct(), "term")
+    hint = F.broadcast if few or size and size[1] else lambda x: x
+    hits = postings.where(F.col("term").isin(*terms)) if few else postings.join(hint(queries.select("term").distinct()), "term")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), (F.greatest(F.sum(length), F.lit(1)) / F.count(F.lit(1))).alias("mean"))
-    weighed = hits.join(hint(df), "term").join(docs.select("doc", length), "doc").crossJoin(F.broadcast(stats))  # one row
-    scored = weighed.select("doc", "term", (idf(F.col("n"), F.col("df")) * tf_norm(F.col("tf"), F.col(length), F.col("mean"))).alias("score"))
-    return scored.join(hint(queries), "term")
+    weighed, sizes = hits.join(hint(df), "term"), docs.select("doc", length)
+    if size:
+        n, small = size
+        by_doc = lambda x: x.repartition(n, "doc")
+        weighed = by_doc(weighed).join(hint(queries), "term") if small else by_doc(weighed.join(queries, "term"))
+        sizes = by_doc(sizes)
+    weighed = weighed.join(sizes, "doc").crossJoin(F.broadcast(stats))  # one row
+    score = idf(F.col("n"), F.col("df")) * tf_norm(F.col("tf"), F.col(length), F.col("mean"))
+    if size:
+        return weighed.select("query", "doc", "pos", "term", score.alias("score"))
+    return weighed.select("doc", "term", score.alias("score")).join(hint(queries), "term")
 
 
 def bm25(index: TextIndex, queries: DataFrame, *, paths: bool = True, terms: Sequence[str] | None = None) -> DataFrame:
     """(query, doc, score, matched): content plus half the path score; document counts are of the whole index.
 
     queries: (query, pos, term). terms: all their terms, if they come from the driver: then only the postings of those are
-    read, and the queries are small enough to broadcast; a table of queries is joined as its size asks for. matched holds
-    a term once for the content and once for the path, by position.
+    read, and the queries are small enough to broadcast. A table of queries is counted: of at most QUERY_TERMS rows it is
+    broadcast, else joined by term; documents go to so many tasks that about PAIRS scores are in one, if each query finds
+    each document. matched holds a term once for the content and once for the path, by position.
     """
-    content = _scores(index.postings, index.docs, "doc_len", queries, terms).select("query", "doc", "pos", "term", F.lit(0).alias("part"), "score")
+    size = None
+    if terms is None:
+        rows, asking = queries.agg(F.count(F.lit(1)), F.countDistinct("query")).first()
+        size = parts(index.docs, index.docs.count() * max(asking, 1), PAIRS), rows <= QUERY_TERMS
+    content = _scores(index.postings, index.docs, "doc_len", queries, terms, size).select("query", "doc", "pos", "term", F.lit(0).alias("part"), "score")
     if paths:
-        extra = _scores(index.path_postings, index.docs, "path_len", queries, terms).select("query", "doc", "pos", "term", F.lit(1).alias("part"), (F.col("score") * F.lit(PATH_WEIGHT)).alias("score"))
+        extra = _scores(index.path_postings, index.docs, "path_len", queries, terms, size).select("query", "doc", "pos", "term", F.lit(1).alias("part"), (F.col("score") * F.lit(PATH_WEIGHT)).alias("score"))
         content = content.unionByName(extra)
     summed = content.groupBy("query", "doc").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("pos", "part", "term"))).alias("m"))
     return summed.select("query", "doc", "score", F.transform("m", lambda x: x["term"]).alias("matched"))
