@@ -121,6 +121,25 @@ def test_calls_and_traces(spark, symbols):
 CHUNK = "chunk_id string, source string, symbol_name string, symbol_kind string, file_path string, parent string, signature string, docstring string, byte_start long, byte_end long"
 
 
+def test_sharing_is_whole_and_bounded(spark, monkeypatch):
+    rows = [(i, f"/{t}") for i in range(300) for t in (0, i % 5, 5 + i % 7, 0)] + [(None, "/0"), (7, None), (50, "/0")]  # repeats, nulls
+    of: dict[int, set] = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            of.setdefault(i, set()).add(t)
+    want = {(a, b, len(of[a] & of[b])) for a in of if a % 10 == 0 for b in of if a != b and len(of[a] & of[b]) >= 2}
+    links = spark.createDataFrame(rows, "page_id long, href string")
+    for pairs, asked in ((1_000_000, 200_000), (500, 25)):  # one pass, and several
+        for name, value in (("PAIRS", pairs), ("ASKED", asked)):
+            monkeypatch.setattr(G, name, value, raising=False)
+        for kept in (links, links.distinct()):
+            found = G.sharing(kept, kept.where("page_id % 10 = 0"), least=2)
+            got = [tuple(r) for r in found.collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 1000 and max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 500
+    assert G.sharing(links.limit(0), links.limit(0), least=2).collect() == []
+
+
 def test_chunks(spark):
     rows = spark.createDataFrame([("1", "body", "f", "function", "a.py", None, "def f()", None, 0, 4), ("2", "body", "f", "function", "b.py", None, "def f()", None, 9, 13), ("3", "body", "f", "method", "c.py", "K", "def f()", None, 0, 4)], CHUNK)
     assert tuple(H.dedup_stats(rows).first()) == (3, 2, 1)

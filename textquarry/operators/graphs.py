@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.operators.text_index import parts
 from textquarry.sources.snapshots import scratch
 
+#: Of sharing(): links and pairs of pages in one task, and links of pages asked for that are broadcast in one pass.
+LINKS, PAIRS, ASKED = 1_000_000, 1_000_000, 200_000
+
 QUOTED = r"""["'`]([^"'`]+)["'`]"""
 
 
@@ -91,11 +95,24 @@ def links(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> Data
 def sharing(links: DataFrame, asked: DataFrame, *, least: int, key: str = "page_id", target: str = "href") -> DataFrame:
     """(key, other_id, shared): of each page asked for, the others that share `least` targets or more with it.
 
-    links, asked: distinct (key, target). A target of very many pages meets the pages asked for only, and the pages that
-    have it come in as many parts as adaptive execution makes of a skewed join side.
+    links, asked: (key, target), asked a part of links. Pages asked for are broadcast, at most about ASKED of their links in
+    one pass, to the links of all pages, which lie by page: so a pair is counted where its other page is, and no pairs are
+    shuffled. The pairs are counted by target first, and the pages go to so many tasks that about PAIRS are in one; what is
+    counted is their number by nature, the links asked for times the links of the same targets.
     """
-    other = links.select(F.col(key).alias("other_id"), target)
-    return asked.select(key, target).join(other, target).where(F.col(key) != F.col("other_id")).groupBy(key, "other_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    n = parts(links, links.count(), LINKS)
+    each = lambda df, out: df.select(key, target).repartition(n, key).distinct().groupBy(target).agg(F.count(F.lit(1)).alias(out))
+    few = each(asked, "a")
+    rows, pairs = few.join(each(links, "b"), target).agg(F.sum("a"), F.sum(F.col("a").cast("double") * F.col("b"))).first()
+    passes = max(1, -(-(rows or 0) // ASKED))
+    n = max(n, parts(links, int(pairs or 0) // passes, PAIRS))
+    other = links.select(F.col(key).alias("other_id"), target).repartition(n, "other_id").distinct()
+    found = None
+    for no in range(passes):
+        own = asked.select(key, target).where(F.pmod(F.xxhash64(key), F.lit(passes)) == no).distinct()
+        part = other.join(F.broadcast(own), target).where(F.col(key) != F.col("other_id")).groupBy(key, "other_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def call_sites(symbols: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def link_extract(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {LINKS} SELECT a.page_id, b.page_id AS other_id, count(DISTINCT href) AS shared FROM (SELECT DISTINCT page_id, href FROM l) a JOIN (SELECT DISTINCT page_id, href FROM l) b USING (href) WHERE a.page_id % 50 = 0 AND a.page_id <> b.page_id GROUP BY ALL HAVING count(DISTINCT href) >= 2")
 def link_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that share two or more link targets with one of the pages asked for: those whose id is divisible by 50."""
-    links = G.links(table(spark, folder, "pages")).select("page_id", "href").distinct()
+    links = G.links(table(spark, folder, "pages")).select("page_id", "href")
     return G.sharing(links, links.where("page_id % 50 = 0"), least=2)
 
 
